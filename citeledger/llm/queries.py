@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from citeledger.llm import decontaminate, harmonic_packing, substring_dedup
+from citeledger.llm import (
+    cotraining,
+    decontaminate,
+    divergence,
+    harmonic_packing,
+    licenses,
+    quotations,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    token_rollup,
+)
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": cotraining.op1_quality_classifier,
+        "op2_minimax_shards": sharding.op2_minimax_shards,
+        "op3_divergence": divergence.op3_divergence,
+        "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_token_rollup": token_rollup.op7_token_rollup,
+        "op8_quotation_links": quotations.op8_quotation_links,
         "op9_harmonic_packing": harmonic_packing.op9_harmonic_packing,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None for 1, 2, 4, 5 and 8: tests hold those against brute force or held-out labels."""
     return {
+        "op3_divergence": divergence.SQL,
         "op6_substring_dedup": substring_dedup.SQL,
+        "op7_token_rollup": token_rollup.SQL,
         "op9_harmonic_packing": harmonic_packing.SQL,
         "op10_decontaminate": decontaminate.SQL,
     }

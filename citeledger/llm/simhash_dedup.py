@@ -50,7 +50,7 @@ def simhash(words, tables: int = TABLES, least: int = LEAST_WORDS) -> np.ndarray
     h, o = h[new], o[new]
     counts = np.bincount(o, minlength=n)
     halves = (tables + 1) // 2
-    planes = np.stack([mix(h + np.uint64(0x632BE59BD9B4E019) * np.uint64(j + 1)) for j in range(halves)], axis=1)
+    planes = np.stack([mix(h + np.uint64(0x632BE59BD9B4E019 * (j + 1) % (1 << 64))) for j in range(halves)], axis=1)
     sums = np.zeros((n, halves * 64), np.int32)
     # bits are added up some rows at a time, to bound what is unpacked at once
     ends = np.cumsum(counts)
@@ -68,7 +68,7 @@ def simhash(words, tables: int = TABLES, least: int = LEAST_WORDS) -> np.ndarray
     # short texts: a hash of the words in order stands for the signature
     first = words.first
     position = (np.arange(len(words.hashes)) - first[:-1][own]).astype(np.uint64)
-    folded = np.concatenate([[0], np.cumsum(mix(words.hashes + position * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    folded = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes + position * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
     whole = folded[first[1:]] - folded[first[:-1]]
     exact = np.stack([mix(whole + np.uint64(j + 1)) for j in range(halves)], axis=1).view(np.uint32)[:, :tables]
     return np.where((counts < least)[:, None], exact, signs).astype(np.int64)

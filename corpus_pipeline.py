@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from citeledger.llm.cotraining import without_rejected
 from citeledger.llm.decontaminate import removal_spans
 from citeledger.llm.harmonic_packing import pack
+from citeledger.llm.simhash_dedup import without_near_copies
 from citeledger.llm.substring_dedup import repeats, without_spans
 from citeledger.scratch import keep, load
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return without_rejected(docs, load(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_copies(docs)
+
+
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, except where they come first; documents left without words go."""
     return without_spans(docs, repeats(docs), with_digest=True)
@@ -27,6 +38,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_dedup", near_copies),
     ("substring_dedup", substring),
     ("decontaminate", decontaminate),
     ("packing", packing),
