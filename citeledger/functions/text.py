@@ -1,0 +1,87 @@
+"""Display text (``clean``) and comparison keys (``fold``) as columns.
+
+Both run inside the JVM for plain ASCII without markup; other values go to one vectorised
+Python function each, and only those: the rest are handed over as null.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_ACCENT = re.compile(r"""\\[-`'^"~=.uvHtcdbkr]\s*\{?([A-Za-z])\}?|\{\\[A-Za-z]+\s+([A-Za-z])\}""".replace("[-`", "[`"))
+_COMMAND, _TAG = re.compile(r"\\([A-Za-z]+)\s*"), re.compile("<[^>]+>")
+_DASHES, _SINGLE, _DOUBLE, _BLANKS = "‐‑‒–—―−", "‘’‚‛", "“”„", "\u00a0\u2009\u202f"
+_PUNCTUATION = {ord(c): to for cs, to in ((_DASHES, "-"), (_SINGLE, "'"), (_DOUBLE, '"'), (_BLANKS, " ")) for c in cs}
+#: Values that the JVM path can't take: not ASCII, or with entities, markup or LaTeX.
+_NEEDS_PYTHON = r"[^\x00-\x7f]|[&<\\{}]|[\x1c-\x1f]"
+
+
+def clean_text(value: str | None) -> str:
+    """Entities, tags, LaTeX, braces, typographic marks and blank runs made plain."""
+    if value is None:
+        return ""
+    text = _TAG.sub("", html.unescape(str(value)))
+    text = _ACCENT.sub(lambda m: m.group(1) or m.group(2) or "", text)
+    text = _COMMAND.sub("", text).replace("{", "").replace("}", "")
+    text = unicodedata.normalize("NFKC", text.translate(_PUNCTUATION))
+    return " ".join(text.split())
+
+
+def fold_text(value: str | None) -> str:
+    """Lower-case letters and digits of the Latin alphabet, single blanks between."""
+    text = unicodedata.normalize("NFKD", clean_text(value).lower().replace("&", " and "))
+    text = "".join(c for c in text if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", text).strip()
+
+
+def ratio(stored: str | None, registry: str | None) -> float:
+    """Gestalt similarity of the folded texts; 0 where either is empty."""
+    a, b = fold_text(stored), fold_text(registry)
+    if not a or not b:
+        return 0.0
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+@F.pandas_udf("string")
+def _clean_udf(values: pd.Series) -> pd.Series:
+    return values.map(clean_text, na_action="ignore")
+
+
+@F.pandas_udf("string")
+def _fold_udf(values: pd.Series) -> pd.Series:
+    return values.map(fold_text, na_action="ignore")
+
+
+@F.pandas_udf("double")
+def _ratio_udf(stored: pd.Series, registry: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None or r is None else ratio(s, r) for s, r in zip(stored, registry, strict=True)], dtype=float)
+
+
+def _hard(value: Column) -> Column:
+    return F.when(value.rlike(_NEEDS_PYTHON), value)
+
+
+def clean(value: Column) -> Column:
+    """Display text; null is ''."""
+    easy = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.coalesce(_clean_udf(_hard(value)), easy, F.lit(""))
+
+
+def fold(value: Column) -> Column:
+    """Comparison key; null is ''."""
+    easy = F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "))
+    return F.coalesce(_fold_udf(_hard(value)), easy, F.lit(""))
+
+
+def similarity(stored: Column, registry: Column, stored_key: Column, registry_key: Column) -> Column:
+    """Title ratio; only pairs whose keys (``fold``) differ and are not empty reach Python."""
+    apart = (stored_key != registry_key) & (stored_key != "") & (registry_key != "")
+    score = _ratio_udf(F.when(apart, stored), F.when(apart, registry))
+    return F.when(apart, score).when((stored_key == "") | (registry_key == ""), 0.0).otherwise(1.0)
