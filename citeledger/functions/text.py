@@ -14,8 +14,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-_ACCENT = re.compile(r"""\\[-`'^"~=.uvHtcdbkr]\s*\{?([A-Za-z])\}?|\{\\[A-Za-z]+\s+([A-Za-z])\}""".replace("[-`", "[`"))
+_ACCENT = re.compile(r"""\\[~=.^`'"bcdHkrtuv]\s*\{?([A-Za-z])\}?|\{\\[A-Za-z]+\s+([A-Za-z])\}""")
 _COMMAND, _TAG = re.compile(r"\\([A-Za-z]+)\s*"), re.compile("<[^>]+>")
 _DASHES, _SINGLE, _DOUBLE, _BLANKS = "‐‑‒–—―−", "‘’‚‛", "“”„", "\u00a0\u2009\u202f"
 _PUNCTUATION = {ord(c): to for cs, to in ((_DASHES, "-"), (_SINGLE, "'"), (_DOUBLE, '"'), (_BLANKS, " ")) for c in cs}
@@ -49,17 +50,17 @@ def ratio(stored: str | None, registry: str | None) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _clean_udf(values: pd.Series) -> pd.Series:
     return values.map(clean_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_udf(values: pd.Series) -> pd.Series:
     return values.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio_udf(stored: pd.Series, registry: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or r is None else ratio(s, r) for s, r in zip(stored, registry, strict=True)], dtype=float)
 
