@@ -16,13 +16,14 @@ from citeledger.scratch import keep
 def richest(rows: DataFrame, key: str, richness: Column, pos: str = "pos") -> DataFrame:
     """The richest row of each key, at the position of the key's first; rows without a key all stay."""
     by_key = Window.partitionBy(key)
+    known = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     keyed = (
-        rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
+        rows.where(known)
         .withColumn("first_pos", F.min(pos).over(by_key))
         .withColumn("nth", F.row_number().over(by_key.orderBy(richness.desc(), pos)))
         .where("nth = 1").drop("nth")
     )
-    loose = rows.where(F.col(key).isNull() | (F.col(key) == "")).withColumn("first_pos", F.col(pos))
+    loose = rows.where(~known).withColumn("first_pos", F.col(pos))
     return keyed.unionByName(loose)
 
 
