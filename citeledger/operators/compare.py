@@ -63,7 +63,11 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def _either(attr: str) -> tuple[Column, Column]:
-    """The primary's value, or the corroborator's where it has none, and whose it is."""
+    """The primary's value, or the corroborator's where it has none, and whose it is (made by ``prepared``)."""
+    return F.col(f"v_{attr}"), F.col(f"from_{attr}")
+
+
+def _chosen(attr: str) -> tuple[Column, Column]:
     first, second = (F.coalesce(F.col(f"{r}.{attr}"), F.lit("")) for r in ("primary", "corroborator"))
     return F.when(first != "", first).otherwise(second), F.when(first != "", F.col("primary.source")).when(
         second != "", F.col("corroborator.source")
@@ -75,6 +79,9 @@ _SCALARS = ["container", "volume", "issue", "publisher"]
 
 def prepared(rows: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """rows with the keys, scores and byline differences that the checks need."""
+    for f in ["title", *_SCALARS, "pages"]:
+        value, source = _chosen(f)
+        rows = rows.select("*", value.alias(f"v_{f}"), source.alias(f"from_{f}"))
     out: dict[str, Column] = {}
     for f in ["title", *_SCALARS]:
         out[f"k_{f}"] = fold(F.col(f))
