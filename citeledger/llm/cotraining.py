@@ -149,8 +149,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_view(ids: list[np.ndarray], good: np.ndarray, size: int, least_rows: int, steps: int = 150) -> View:
-    """Full-batch Adam on the log-loss with an L2 penalty."""
+def fit_view(ids: list[np.ndarray], good: np.ndarray, size: int, least_rows: int, start: View | None = None) -> View:
+    """Full-batch Adam on the log-loss with an L2 penalty, fewer steps where a fit is taken further."""
     sizes = np.array([len(x) for x in ids])
     flat = np.concatenate(ids).astype(np.int64)
     own = np.repeat(np.arange(len(ids)), sizes)
@@ -164,8 +164,10 @@ def fit_view(ids: list[np.ndarray], good: np.ndarray, size: int, least_rows: int
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w, b = np.zeros(len(used) + 1), 0.0
     w[-1] = np.log(share / (1 - share))
+    if start is not None:
+        w[:-1], w[-1] = start.weights[used], start.bias
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
+    for t in range(1, (150 if start is None else 40) + 1):
         z = np.bincount(own, w[flat], minlength=n) + w[-1]
         error = (_sigmoid(z) - y) / n
         g = np.append(np.bincount(flat, error[own], minlength=len(used)), error.sum()) + 2e-5 * w
@@ -242,24 +244,25 @@ def _unpack(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
-def _confident(text: View, meta: View, confident: float, exchange: int):
-    """Of each batch, for each view and class, the first ``exchange`` confident rows by hash."""
+def _confident(text: View, meta: View, confident: float, exchange: int, seen: list[np.ndarray]):
+    """For each view and class the first ``exchange`` confident rows of a task by hash, without those seen."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros((2, 0), np.int64) for _ in range(4)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nth = batch.column(3).to_numpy()
+            rows = np.stack([batch.column(3).to_numpy(), batch.column(0).to_numpy()])
             p = [_sigmoid(text.logits(_unpack(batch.column(1)))), _sigmoid(meta.logits(_unpack(batch.column(2))))]
             for slot in range(4):
-                at = np.flatnonzero((p[slot // 2] >= confident) if slot % 2 else (p[slot // 2] <= 1 - confident))
-                at = at[np.argsort(nth[at], kind="stable")[:exchange]]
-                if len(at):
-                    part = batch.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), slot, np.int32)), part.column(3), part.column(0), part.column(1), part.column(2)],
-                        names=["slot", "nth", "doc_id", "words", "meta"],
-                    )
+                sure = (p[slot // 2] >= confident) if slot % 2 else (p[slot // 2] <= 1 - confident)
+                both = np.concatenate([best[slot], rows[:, sure & ~np.isin(rows[1], seen[slot // 2])]], axis=1)
+                best[slot] = both[:, np.lexsort((both[1], both[0]))[:exchange]]
+        for slot, (nth, doc) in enumerate(best):
+            if len(nth):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(nth), slot, np.int32)), pa.array(nth), pa.array(doc)], names=["slot", "nth", "doc_id"]
+                )
 
     return choose
 
@@ -302,45 +305,43 @@ def train(
     base = np.flatnonzero(~apart)
     more: dict[str, list[tuple[np.ndarray, bool]]] = {"text": [], "meta": []}
 
-    def fitted() -> tuple[View, View]:
-        out = []
+    def fitted(*start: View) -> tuple[View, View]:
+        out: list[View] = []
         for name, ids, size, least in (
             ("text", words, (1 << WORD_BITS) + _STYLES, LEAST_ROWS), ("meta", meta, 1 << META_BITS, LEAST_ROWS),
         ):
             extra = more[name]
-            out.append(fit_view([ids[i] for i in base] + [x for x, _ in extra], np.append(y[base], [g for _, g in extra]), size, least))
+            out.append(fit_view([ids[i] for i in base] + [x for x, _ in extra], np.append(y[base], [g for _, g in extra]), size, least, start[len(out)] if start else None))
         return out[0], out[1]
 
     text_view, meta_view = fitted()
-    pool = table.where("doc_id is not null").join(F.broadcast(known), "doc_id", "left_anti").withColumn("nth", F.xxhash64("doc_id"))
-    seen: set[tuple[int, int]] = set()
+    pool = (
+        table.where("doc_id is not null").join(F.broadcast(known), "doc_id", "left_anti")
+        .select("doc_id", "words", "meta", F.xxhash64("doc_id").alias("nth"))
+    )
+    seen = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    by_slot = Window.partitionBy("slot").orderBy("nth", "doc_id")
     for _ in range(rounds):
-        by_slot = Window.partitionBy("slot").orderBy("nth", "doc_id")
+        # only ids are shuffled; the features of the few that are chosen are looked up
         handed = (
-            pool.select("doc_id", "words", "meta", "nth")
-            .mapInArrow(_confident(text_view, meta_view, confident, exchange + len(seen)), "slot int, nth long, doc_id long, words binary, meta binary")
+            pool.mapInArrow(_confident(text_view, meta_view, confident, exchange, seen), "slot int, nth long, doc_id long")
+            .distinct()
             .withColumn("place", F.row_number().over(by_slot))
-            .where(F.col("place") <= exchange + len(seen))
-            .orderBy("slot", "place")
-            .toArrow()
+            .where(F.col("place") <= exchange)
+            .select("slot", "doc_id").toArrow()
         )
-        new = [0] * 4
-        for slot, doc, w, m in zip(
-            handed.column("slot").to_pylist(), handed.column("doc_id").to_pylist(),
-            _unpack(handed.column("words")), _unpack(handed.column("meta")), strict=True,
-        ):
-            if (slot // 2, doc) in seen or new[slot] >= exchange:
-                continue
-            seen.add((slot // 2, doc))
-            new[slot] += 1
-            # the text view teaches the metadata view and the other way round
-            if slot // 2 == 0:
-                more["meta"].append((m, bool(slot % 2)))
-            else:
-                more["text"].append((w, bool(slot % 2)))
-        if not sum(new):
+        if not handed.num_rows:
             break
-        text_view, meta_view = fitted()
+        slots, docs = handed.column("slot").to_numpy(), handed.column("doc_id").to_numpy()
+        # at most 4 * exchange ids
+        ids = spark.createDataFrame([(int(d),) for d in np.unique(docs)], "doc_id long")
+        rows = table.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta").toArrow()
+        of = dict(zip(rows.column("doc_id").to_pylist(), zip(_unpack(rows.column("words")), _unpack(rows.column("meta")), strict=True), strict=True))
+        for slot, doc in sorted(zip(slots.tolist(), docs.tolist(), strict=True)):
+            # the text view teaches the metadata view and the other way round
+            more["text" if slot // 2 else "meta"].append((of[doc][0 if slot // 2 else 1], bool(slot % 2)))
+        seen = [np.append(seen[v], docs[slots // 2 == v]) for v in (0, 1)]
+        text_view, meta_view = fitted(text_view, meta_view)
     fold = np.flatnonzero(apart) if apart.any() else base
     for view, ids in ((text_view, words), (meta_view, meta)):
         view.scale, view.shift = platt(view.logits([ids[i] for i in fold]), y[fold])
