@@ -21,6 +21,7 @@ an empty result.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from citeledger.scratch import load
 
 SHINGLE, BANDS, ROWS, LEAST = 3, 16, 2, 0.8
 
-#: (name, text): notices and the opening passages of widely used licenses.
+#: (name, text): notices and opening passages of widely used licenses, then the whole texts in ``license_texts``.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -54,6 +55,30 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced"),
+    ("reserved", "All rights reserved."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    *(
+        (f"CC-{short}-4.0", f"This work is licensed under a Creative Commons {terms} 4.0 International License.")
+        for short, terms in (
+            ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    ),
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 ]
 
 
@@ -155,7 +180,11 @@ def _scan(templates: Templates, least: float):
 
 def _matches(templates: Templates, grams: np.ndarray, held: np.ndarray, lengths: list[int], least: float):
     """(template, start, end, containment) of one text; held: places of its known shingles."""
+    distinct = len(np.unique(grams[held]))
     for size in lengths:
+        # a text with too few known shingles for any template of this length can't verify
+        if distinct < least * min(len(g) for g, n in zip(templates.shingles, templates.sizes, strict=True) if n == size):
+            continue
         width, step = size - SHINGLE + 1, max(1, size // 4)
         # the windows that hold a known shingle; a text shorter than a window is one window
         count = max(1, -(-(len(grams) - width) // step) + 1) if len(grams) > width else 1

@@ -142,6 +142,17 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_license_families_and_bodies(spark):
+    of = {name: text for name, text in licenses.TEMPLATES}  # the last text of a name is the whole one
+    whole = ["Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense", "BSD", "MIT"]
+    rows = [(1, words(40) + "\nAll rights reserved.\n" + words(40)), (2, words(9) + " Licensed under CC BY-ND 4.0. " + words(9)), (3, "All rights are reserved")]
+    # bodies without their first tenth: neither notice nor opening words
+    rows += [(10 + i, words(30) + " " + " ".join(of[n].split()[len(of[n].split()) // 10 :]) + " " + words(30)) for i, n in enumerate(whole)]
+    found = {(r.doc_id, r.license) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert {(1, "reserved"), (2, "CC-BY-ND-4.0")} <= found and not [d for d, _ in found if d == 3]
+    assert {(10 + i, n) for i, n in enumerate(whole)} <= found
+
+
 def test_substring_repeats_equal_brute_force(spark):
     rng = random.Random(13)
     shared = words(30, rng=rng)
