@@ -2,12 +2,21 @@
 
 A line that begins with ">" marks, each with blanks around it at will, is quoted at the level
 that the number of marks gives; other lines are the author's own.  Runs of lines of one level
-are passages, parted by blank lines too.  A passage's key is a hash of its words, lower-cased
-and without punctuation, so rewrapped lines stay equal.  Passages of ``least`` words or more are
-joined by (conversation, key) to messages whose own passages, single lines or whole own text
-have that key and which come earlier.  The parent of a message is the latest such message for
-a passage of its lowest quoted level; ``links`` counts all messages that it quotes at any level.
-A message that quotes nothing it can be linked to follows the message before it.
+are passages, parted by blank lines too; a level as a whole is one more.  A passage quotes an
+earlier message of the conversation where its words, lower-cased and without punctuation, occur
+one after the other in that message's own text, be it whole paragraphs, some of their lines or
+a part of a sentence; rewrapped lines stay equal.  A passage that no message holds as it stands
+(shortened or altered) is looked up by its lines, sentences and the parts between omissions.
+
+A passage of ``least`` words or more is linked to every such message.  A shorter one is linked
+to the latest only, and a remnant of an altered passage that is that short to none.  The parent
+of a message is taken at its lowest quoted level that is linked: before others the latest
+message of which a passage is a run of whole lines, then one that holds a passage, then one
+that holds a part of one, then one that holds a short passage.  ``links`` counts all messages
+that it quotes at any level.  A message that quotes nothing it can be linked to follows the
+message before it.
+
+Each conversation is looked up by an index of its own words, built where it holds quotes.
 
 ``position`` numbers the messages of a conversation in reply order: after a message come its
 replies with theirs, in the order of their turns.  ``text`` is the own text without quotes.
@@ -15,8 +24,9 @@ replies with theirs, in the order of their turns.  ``text`` is the own text with
 Defined cases: a null or empty text has no passages and an empty own text (null stays null).  A
 null conv_id makes every such row a conversation of its own.  Null turns come first; rows that
 share a turn are ordered by role and text, nulls first, and equal rows are each kept.  A quote
-of what comes later, or of another conversation, is no link.  A text of quotes only is kept,
-with an empty text.  An empty table gives an empty result.  Other columns are not read.
+of what comes later, of another conversation or without words is no link.  A text of quotes
+only is kept, with an empty text.  An empty table gives an empty result.  Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -26,14 +36,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeledger.llm.words import WordHasher, mix, words_of
-from citeledger.scratch import keep, load
+from citeledger.llm.words import WordHasher, clean_bytes, ngram_hashes
+from citeledger.scratch import load
 
 LEAST_WORDS = 3
 _MARKS = re.compile(r"[ \t]*>(?:[ \t]*>)*[ \t]?")
+#: Where a passage is parted that is not found as it stands: sentence ends and marks of omission.
+_PARTS = re.compile(r"(?<=[.!?;:])\s+|\[[^\]]{0,20}\]|\.{2,}|\u2026")
 
 
 def parse(text: str | None) -> tuple[list[tuple[int, str]], str]:
@@ -57,90 +69,167 @@ def parse(text: str | None) -> tuple[list[tuple[int, str]], str]:
     return [(level, "\n".join(lines)) for level, lines in passages], re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
 
 
-def _keys(parts: list[str], hasher: WordHasher) -> list[tuple[int, int]]:
-    """(key, number of words) of each part."""
-    s = hasher(list(range(len(parts))), [b" ".join(words_of(p)) for p in parts])
-    place = np.arange(len(s.hashes)) - s.first[:-1][s.owner()]
-    folded = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s.hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
-    sizes = np.diff(s.first)
-    keys = mix(folded[s.first[1:]] - folded[s.first[:-1]] + sizes.astype(np.uint64))
-    return list(zip(keys.view(np.int64).tolist(), sizes.tolist(), strict=True))
-
-
-def passages(messages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(conv_id, nth, turn, role, text, own keys, quoted (level, key))."""
+def _split(text: str | None) -> tuple[list[tuple[int, str]], str]:
+    """((level, quoted passage) with each level of several as a whole too, own text)."""
+    if not text or ">" not in text:
+        return [], re.sub(r"\n{3,}", "\n\n", text or "").strip("\n")
+    found, own = parse(text)
+    quotes = [(level, p) for level, p in found if level]
+    # blank lines inside a quote may be the quoter's
+    for level in sorted({level for level, _ in quotes}):
+        same = [p for at, p in quotes if at == level]
+        if len(same) > 1:
+            quotes.append((level, "\n".join(same)))
+    return quotes, own
+
+
+class _Words:
+    """The words of a conversation's own texts, found by runs of up to ``GRAM``."""
+
+    GRAM = 3
+
+    def __init__(self, owns: list[str], hasher: WordHasher):
+        lines = [own.split("\n") for own in owns]
+        flat = [clean_bytes(line) for of in lines for line in of]
+        s = hasher(list(range(len(flat))), flat)
+        self.hashes = s.hashes
+        self.first = s.first[np.concatenate([[0], np.cumsum([len(of) for of in lines])])]
+        self.edge = np.zeros(len(s.hashes) + 1, bool)
+        self.edge[s.first] = True
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def find(self, words: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+        """Messages before the given one that hold the words one after the other, and whether as whole lines."""
+        n = len(words)
+        size = min(self.GRAM, n)
+        if size not in self.grams:
+            grams = ngram_hashes(self.hashes, size)
+            order = np.argsort(grams, kind="stable")
+            self.grams[size] = grams, order, grams[order]
+        grams, order, ranked = self.grams[size]
+        own = ngram_hashes(words, size)
+        low, high = np.searchsorted(ranked, own), np.searchsorted(ranked, own, side="right")
+        rarest = int(np.argmin(high - low))
+        at = order[low[rarest] : high[rarest]] - rarest
+        at = at[at >= 0]
+        owner = np.searchsorted(self.first, at, side="right") - 1
+        fits = (owner < before) & (at + n <= self.first[np.minimum(owner + 1, len(self.first) - 1)])
+        at, owner = at[fits], owner[fits]
+        for j in [*range(0, n - size, size), n - size]:
+            same = grams[at + j] == own[j]
+            at, owner = at[same], owner[same]
+            if not len(at):
+                break
+        return owner, self.edge[at] & self.edge[at + n]
+
+
+def _met(messages: list[tuple[list[tuple[int, str]], str]], hasher: WordHasher, least: int) -> dict[int, tuple[int, int, int]]:
+    """For messages (from 0) with quotes that earlier ones hold: (parent, level, links)."""
+    index = _Words([own for _, own in messages], hasher)
+
+    def hashed(parts: list[str]) -> list[np.ndarray]:
+        s = hasher(list(range(len(parts))), [clean_bytes(p) for p in parts])
+        return [s.of_row(i) for i in range(len(parts))]
+
+    out = {}
+    for m, (quotes, _) in enumerate(messages):
+        links: set[int] = set()
+        best = None
+        for (level, passage), words in zip(quotes, hashed([p for _, p in quotes]) if quotes else [], strict=True):
+            if not len(words):
+                continue
+            owner, whole = index.find(words, m)
+            if len(owner) and len(words) < least:
+                ranked = [(-level, 0, int(owner.max()))]
+                links.add(ranked[0][2])
+            elif len(owner):
+                ranked = [(-level, 3 if w else 2, o) for o, w in zip(owner.tolist(), whole.tolist(), strict=True)]
+                links.update(owner.tolist())
+            else:
+                parts = sorted({*passage.split("\n"), *(p for p in _PARTS.split(passage.replace("\n", " ")))})
+                held = [index.find(w, m)[0] for w in hashed(parts) if len(w) >= least]
+                ranked = [(-level, 1, o) for of in held for o in set(of.tolist())]
+                links.update(o for _, _, o in ranked)
+            best = max([*ranked, best] if best else ranked, default=None)
+        if best:
+            out[m] = best[2], -best[0], len(links)
+    return out
+
+
+def _placed(parent: list[int]) -> tuple[list[int], list[int]]:
+    """Position and depth of a conversation's messages; parents count from 1, 0 is none."""
+    replies: dict[int, list[int]] = {}
+    for i, p in enumerate(parent):
+        replies.setdefault(p, []).append(i + 1)
+    position, depth = [0] * len(parent), [0] * len(parent)
+    stack, at = [(c, 0) for c in reversed(replies.get(0, []))], 0
+    while stack:
+        m, d = stack.pop()
+        at += 1
+        position[m - 1], depth[m - 1] = at, d
+        stack.extend((c, d + 1) for c in reversed(replies.get(m, [])))
+    return position, depth
+
+
+def _link(least: int):
+    """From (conv_id, turn, role, text) rows in order, conversation after conversation: the result's rows.
+
+    Every row with a null conv_id is a conversation.
+    """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(table: pa.Table, hasher: WordHasher) -> Iterator[pa.RecordBatch]:
+        conv, n = table.column(0), table.num_rows
+        if conv.null_count:
+            start = np.arange(n)
+        else:
+            ids = conv.to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        texts = table.column(3).to_pylist()
+        split = [_split(t) for t in texts]
+        parents, levels, links, position, depth = [], [0] * n, [0] * n, [], []
+        for s, e in zip(start.tolist(), [*start[1:].tolist(), n], strict=True):
+            parent = list(range(e - s))
+            if any(quotes for quotes, _ in split[s:e]):
+                for m, (to, level, count) in _met(split[s:e], hasher, least).items():
+                    parent[m], levels[s + m], links[s + m] = to + 1, level, count
+            places = _placed(parent)
+            position += places[0]
+            depth += places[1]
+            parents += [s + p - 1 if p else None for p in parent]
+        body = [None if t is None else own for t, (_, own) in zip(texts, split, strict=True)]
+        turn = table.column(1).combine_chunks()
+        out = pa.table(
+            [
+                conv, turn, table.column(2), pa.array(body, pa.string()), turn.take(pa.array(parents, pa.int64())),
+                *(pa.array(v, pa.int64()) for v in (levels, links, position, depth)),
+            ],
+            names=["conv_id", "turn", "role", "text", "reply_to", "quoted_level", "links", "position", "depth"],
+        )
+        yield from out.combine_chunks().to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            own_keys, quoted, bodies = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                found, own = parse(text)
-                bodies.append(None if text is None else own)
-                units = {own} | {p for level, p in found if not level}
-                units |= {line for p in list(units) for line in p.split("\n")}
-                units = sorted(u for u in units if u.strip())
-                own_keys.append(sorted({k for k, n in _keys(units, hasher) if n >= least}) if units else [])
-                quotes = [(level, p) for level, p in found if level]
-                # a level as a whole too: blank lines inside a quote may be the quoter's
-                for level in sorted({level for level, _ in quotes}):
-                    quotes.append((level, "\n".join(p for at, p in quotes if at == level)))
-                keys = _keys([p for _, p in quotes], hasher) if quotes else []
-                quoted.append(sorted({(level, k) for (level, _), (k, n) in zip(quotes, keys, strict=True) if n >= least}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-1], pa.array(bodies, pa.string()), pa.array(own_keys, pa.list_(pa.int64())),
-                    pa.array([[{"level": a, "key": b} for a, b in q] for q in quoted], pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64())]))),
-                ],
-                names=["conv_id", "nth", "turn", "role", "text", "own", "quoted"],
-            )
-
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    rows = messages.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text"
-    )
-    known = rows.where("conv_id is not null").withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    alone = rows.where("conv_id is null").withColumn("nth", F.lit(1))
-    return known.unionByName(alone).select("conv_id", "nth", "turn", "role", "text").mapInArrow(
-        split,
-        "conv_id long, nth int, turn long, role string, text string, own array<long>, quoted array<struct<level:int,key:long>>",
-    )
-
-
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds position and depth to rows (conv_id, nth, parent, ...) that come sorted by the first two."""
-
-    def of(table: pa.Table) -> pa.RecordBatch:
-        conv = table.column(0).to_numpy()
-        parent = table.column(2).to_numpy()
-        n = len(conv)
-        start = np.flatnonzero(np.concatenate([[True], conv[1:] != conv[:-1]]))
-        position, depth = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for s, e in zip(start.tolist(), [*start[1:].tolist(), n], strict=True):
-            replies: dict[int, list[int]] = {}
-            for i in range(s, e):
-                replies.setdefault(int(parent[i]), []).append(i - s + 1)
-            stack, at = [(c, 0) for c in reversed(replies.get(0, []))], 0
-            while stack:
-                m, d = stack.pop()
-                at += 1
-                position[s + m - 1], depth[s + m - 1] = at, d
-                stack.extend((c, d + 1) for c in reversed(replies.get(m, [])))
-        out = table.append_column("position", pa.array(position)).append_column("depth", pa.array(depth))
-        return out.combine_chunks().to_batches()[0]
-
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        conv = held.column(0).to_numpy()
-        cut = int(np.searchsorted(conv, conv[-1]))
-        if cut:
-            yield of(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None:
-        yield of(held)
+            if not batch.num_rows:
+                continue
+            conv = batch.column(0)
+            if conv.null_count:
+                yield from of(pa.Table.from_batches([batch]), hasher)
+                continue
+            ids = conv.to_numpy()
+            # the last conversation may go on in the next batch
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if held and (cut or held[-1].column(0)[-1] != conv[0]):
+                yield from of(pa.Table.from_batches([*held, batch.slice(0, cut)]), hasher)
+                held = []
+            elif cut:
+                yield from of(pa.Table.from_batches([batch.slice(0, cut)]), hasher)
+            held.append(batch.slice(cut))
+        if held:
+            yield from of(pa.Table.from_batches(held), hasher)
+
+    return link
 
 
 def linked(messages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -149,35 +238,16 @@ def linked(messages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     reply_to is the turn of the parent (null: none); quoted_level the level of the quote that
     led there (0: none did).
     """
-    rows = keep(passages(messages, least), "passages")
-    originals = rows.where("conv_id is not null").select("conv_id", F.col("nth").alias("original"), F.explode("own").alias("key"))
-    quotes = rows.where("conv_id is not null and size(quoted) > 0").select("conv_id", "nth", F.explode("quoted").alias("q"))
-    met = (
-        quotes.select("conv_id", "nth", "q.level", "q.key").join(originals, ["conv_id", "key"]).where("original < nth")
-        .groupBy("conv_id", "nth")
-        .agg(
-            F.max(F.struct((-F.col("level")).alias("level"), "original")).alias("best"),
-            F.countDistinct("original").alias("links"),
-        )
-    )
-    placed = rows.join(met, ["conv_id", "nth"], "left").select(
-        "conv_id", "nth", F.coalesce("best.original", F.col("nth") - 1).cast("int").alias("parent"), "turn", "role", "text",
-        (-F.coalesce("best.level", F.lit(0))).cast("long").alias("quoted_level"), F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-    )
-    schema = "conv_id long, nth int, parent int, turn long, role string, text string, quoted_level long, links long"
-    ordered = (
-        placed.where("conv_id is not null")
-        .repartition("conv_id").sortWithinPartitions("conv_id", "nth")
-        .mapInArrow(_ordered, f"{schema}, position long, depth long")
-    )
-    alone = placed.where("conv_id is null").withColumns({"position": F.lit(1).cast("long"), "depth": F.lit(0).cast("long")})
-    every = ordered.unionByName(alone)
-    by_conv = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    turns = F.collect_list(F.struct("turn")).over(by_conv)
-    known = every.where("conv_id is not null").withColumn("turns", turns)
-    known = known.withColumn("reply_to", F.when(F.col("parent") > 0, F.get("turns", F.col("parent") - 1)["turn"])).drop("turns")
-    every = known.unionByName(every.where("conv_id is null").withColumn("reply_to", F.lit(None).cast("long")))
-    return every.select("conv_id", "turn", "role", "text", "reply_to", "quoted_level", "links", "position", "depth")
+    rows = messages.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text"
+    )
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    schema = (
+        "conv_id long, turn long, role string, text string, reply_to long, quoted_level long, links long, position long, depth long"
+    )
+    known = rows.where("conv_id is not null").repartition("conv_id").sortWithinPartitions("conv_id", *order)
+    alone = rows.where("conv_id is null")
+    return known.mapInArrow(_link(least), schema).unionByName(alone.mapInArrow(_link(least), schema))
 
 
 def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,39 @@ def test_quotations(spark):
     assert quotations.parse("a\n> > b\n>c") == ([(0, "a"), (2, "b"), (1, "c")], "a")
 
 
+def test_partial_quotations(spark):
+    first = "The red boat left early.\nNobody saw the old captain.\nHis dog stayed behind here."
+    rows = [
+        (0, first), (1, "Fine weather today."), (2, "> Nobody saw the old captain.\n> His dog stayed behind here.\nSo I heard."),
+        (3, "I can come on Sunday; the train leaves at nine, and my brother will drive us."), (4, "Nothing new from me."),
+        (5, "> the train leaves at nine\nToo late for me."), (6, "> Fine weather\nIt rains."), (7, "> The red boat left [...]\n> the old captain\nWho?"),
+        (8, "> The red boat left early.\n> words that nobody ever wrote\nYes."), (9, "> fine day\n> ...\nNo."), (10, ">> My brother will drive us\n> Too late for me.\nWell."),
+        (11, "> it rains tomorrow at nine\nNo."),
+    ]
+    table = spark.createDataFrame([(1, t, "r", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotations.linked(table).collect()}
+    assert [got[t].reply_to for t, _ in rows] == [None, 0, 0, 2, 3, 3, 1, 0, 0, 8, 5, 10]
+    assert [got[t].links for t, _ in rows] == [0, 0, 1, 0, 0, 1, 1, 1, 1, 0, 2, 0]
+
+    # against brute force: runs of words cut out of earlier messages
+    rng = random.Random(17)
+    owns, rows, want = [], [], {}
+    for t in range(60):
+        own = "\n".join(words(rng.randint(4, 12), 60, rng) for _ in range(rng.randint(1, 4)))
+        quote = ""
+        if t > 2 and rng.random() < 0.6:
+            ws = owns[rng.randrange(t)].split()
+            a = rng.randrange(len(ws) - 3)
+            part = ws[a : a + rng.randint(3, 9)]
+            quote = "> " + " ".join(w + ("\n>" if rng.random() < 0.2 else "") for w in part[:-1]) + f" {part[-1]}.\n"
+            want[t] = sum(f" {' '.join(part)} " in f" {' '.join(o.split())} " for o in owns)
+        owns.append(own)
+        rows.append((2, t, "r", quote + own))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotations.linked(table).collect()}
+    assert {t: r.links for t, r in got.items() if r.links} == want and len(want) > 20
+
+
 def test_packing_and_decontamination(spark):
     rows = [(i, words(i * 37 % 300 + 1)) for i in range(80)] + [(500, words(700))] + ODD
     bins = harmonic_packing.pack(docs(spark, rows), capacity=256, classes=16, bucket_rows=40).collect()
