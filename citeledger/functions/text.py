@@ -14,7 +14,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 _ACCENT = re.compile(r"""\\[~=.^`'"bcdHkrtuv]\s*\{?([A-Za-z])\}?|\{\\[A-Za-z]+\s+([A-Za-z])\}""")
 _COMMAND, _TAG = re.compile(r"\\([A-Za-z]+)\s*"), re.compile("<[^>]+>")
@@ -60,6 +60,11 @@ def _fold_udf(values: pd.Series) -> pd.Series:
     return values.map(fold_text, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _fold_all_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda values: [fold_text(v) for v in values if clean_text(v)], na_action="ignore")
+
+
 @F.pandas_udf(DoubleType())
 def _ratio_udf(stored: pd.Series, registry: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or r is None else ratio(s, r) for s, r in zip(stored, registry, strict=True)], dtype=float)
@@ -81,6 +86,12 @@ def fold(value: Column) -> Column:
     return F.coalesce(_fold_udf(_hard(value)), easy, F.lit(""))
 
 
+def fold_all(values: Column) -> Column:
+    """Comparison keys of an array's values that have display text, in order; only arrays with a hard one reach Python."""
+    easy = F.transform(F.filter(values, lambda v: v.rlike(r"\S")), lambda v: F.trim(F.regexp_replace(F.lower(v), "[^a-z0-9]+", " ")))
+    return F.coalesce(_fold_all_udf(F.when(F.exists(values, lambda v: v.rlike(_NEEDS_PYTHON)), values)), easy)
+
+
 def similarity(stored: Column, registry: Column, stored_key: Column, registry_key: Column) -> Column:
     """Title ratio; only pairs whose keys (``fold``) differ and are not empty reach Python."""
     apart = (stored_key != registry_key) & (stored_key != "") & (registry_key != "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from citeledger.functions.identifiers import first_page, normalize_doi, normalize_kind
 from citeledger.functions.names import byline_diff
-from citeledger.functions.text import clean, fold, similarity
+from citeledger.functions.text import clean, fold, fold_all, similarity
 from citeledger.operators import rules
 from citeledger.schema import ARTIFACT, COMPATIBLE_KINDS, CONCERN, ISSUE, NO_RETRACTION_SIGNAL, REGISTRIES
 
@@ -87,6 +87,7 @@ def prepared(rows: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
         out[f"k_{f}"] = fold(F.col(f))
         out[f"p_{f}"], out[f"c_{f}"] = fold(F.col(f"primary.{f}")), fold(F.col(f"corroborator.{f}"))
     out["k_short"] = fold(F.coalesce(F.nullif("primary.container_short", F.lit("")), F.col("corroborator.container_short")))
+    out["k_alternates"] = fold_all(F.concat(*(F.coalesce(F.col(f"{r}.container_alternates"), F.array()) for r in ("primary", "corroborator"))))
     out["kind_key"], out["p_kind"] = normalize_kind(F.col("kind")), normalize_kind(F.col("primary.kind"))
     for side, col in (("k", "pages"), ("p", "primary.pages"), ("c", "corroborator.pages")):
         out[f"{side}_page"] = first_page(F.col(col))
@@ -112,11 +113,7 @@ def _scalar(field: str) -> Column:
     ladder = F.when(value == "", None).when(stored == "", F.when(~exempt, issue(field, "missing", "warning", stored, value, source)))
     ladder = ladder.when(mine == theirs, F.when(clean(stored) != clean(value), issue(field, "cosmetic", "info", stored, value, source)))
     if field == "container":
-        others = F.concat(*(F.coalesce(F.col(f"{r}.container_alternates"), F.array()) for r in ("primary", "corroborator")))
-        lower = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-        ladder = ladder.when(
-            F.exists(others, lambda o: (o != "") & (lower(o) == mine)), issue(field, "alternate-title", "info", stored, value, source)
-        )
+        ladder = ladder.when(F.array_contains("k_alternates", mine), issue(field, "alternate-title", "info", stored, value, source))
     ladder = ladder.when(
         corroborated & ((F.col(f"c_{field}") == mine) | ((F.col(f"p_{field}") != F.col(f"c_{field}")) & (F.col(f"p_{field}") != ""))),
         issue(field, "disputed", "info", stored, value, source),

@@ -7,10 +7,10 @@ from citeledger.functions import identifiers as ids
 from citeledger.functions.names import Person, agree, compare_bylines, demojibake, one_edit, parse_people, parse_person
 from citeledger.functions.text import clean_text, fold, fold_text, ratio
 from citeledger.operators import relations as rel
-from citeledger.operators.compare import verdict
+from citeledger.operators.compare import compared, verdict
 from citeledger.operators.resolve import latest_notices, merged_notices
 from citeledger.plans import queries as core
-from citeledger.schema import ISSUE
+from citeledger.schema import ISSUE, RECORD, REFERENCE
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,6 +81,28 @@ def test_verdict_lattice(spark):
         assert r.got == r.want
 
 
+def test_alternate_containers_are_folded(spark):
+    cases = [
+        ("Science & Technology", ["Other", "Science & Technology"], True), ("Science and Technology", ["Science &amp; Technology"], True),
+        ("Revista de Física", ["Revista de Física"], True), ("Revista de Fisica", [None, "<i>Revista</i> de F{\\'i}sica"], True),
+        ("Methods in Biobanking", ["Methods in biobanking."], True), ("Methods in Biobanking", ["Methods in Biology", "", " "], False),
+        ("Física", ["", None, "\u00a0"], False), ("Física", None, False), ("物理", [" ", "\u00a0", ""], False),
+    ]
+    record = {"source": "crossref", "title": "A title", "container": "The Series", "kind": "journal-article", "retracted": False, "authors": [], "years": []}
+    for second in (False, True):
+        rows = []
+        for i, (container, alternates, _) in enumerate(cases):
+            one, other = ({**record, "container_alternates": a} for a in ([] if second else alternates, alternates))
+            rows.append({"pos": i, "kind": "article", "title": "A title", "container": container, "authors": [], "identifier": "10.1/a",
+                         "route": "doi", "asked": ["crossref"], "primary": one, "corroborator": other if second else None, "records": [one]})
+        schema = f"{REFERENCE}, identifier string, route string, asked array<string>, primary struct<{RECORD}>, corroborator struct<{RECORD}>, records array<struct<{RECORD}>>"
+        got = {r.pos: r for r in compared(spark.createDataFrame(rows, schema)).select("pos", "issues", "verdict").collect()}
+        for i, (container, _, alternate) in enumerate(cases):
+            kinds = [x.kind for x in got[i].issues if x.field == "container"]
+            assert kinds == ["alternate-title" if alternate else "mismatch"], (container, second)
+            assert (got[i].verdict == "FIELD-MISMATCH") != alternate
+
+
 def test_notices(spark):
     rows = [(1, "10.1/a", "Correction", "2004-01-01"), (2, "10.1/a", "Retraction", "2010-01-01"), (3, "10.1/b", "Retraction", "2010-01-01"),
             (4, "10.1/b", "Reinstatement", "2011-01-01"), (5, "10.1/c", "", None), (6, "10.1/d", "Novelty", "2012-01-01"),
