@@ -6,10 +6,11 @@ flipped bit: 33 variants) is emitted and shuffled: two fingerprints within the r
 share a variant.  Documents that meet in a bucket are verified on the whole signature
 (Hamming distance at most ``most_bits``), and verified pairs are joined into groups.
 
-A fingerprint of 32 bits keeps chance meetings rare up to some 10^8 distinct signatures; a
-pair whose bits differ with probability p meets in one table with probability
-P(Binomial(32, p) <= 2), so five tables find 99 % of the pairs at p = 0.06 (one word in
-fifty changed) and 90 % at p = 0.09, before groups close over shared members.
+The same bits are also dealt out anew, every ``tables``-th bit to one of as many further keys,
+which meet in the same way.  A fingerprint of 32 bits keeps chance meetings rare up to some
+10^8 distinct signatures.  Pairs of up to 14 differing bits of 160 always meet; of those at 18,
+19 and 20 bits the five fingerprints alone would find 88, 81 and 74 %, all ten keys find 98, 96
+and 93 % (differing bits drawn at random), before groups close over shared members.
 
 Equal signatures are one node before anything is emitted, so exact copies cost nothing.
 Within a bucket, components are found exactly: each member is compared with those not yet
@@ -223,11 +224,27 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_extra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (node, prints) rows: (node, keys), the fingerprints and what is dealt out anew of their bits."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        prints = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1).astype("<u4")
+        tables = prints.shape[1]
+        bits = np.unpackbits(prints.view(np.uint8), axis=1)
+        # of one table nothing can be dealt out
+        more = [np.packbits(bits[:, j::tables], axis=1).view("<u4") for j in range(tables if tables > 1 else 0)]
+        keys = np.concatenate([prints, *more], axis=1).astype(np.int64)
+        offsets = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, keys.ravel())], names=["node", "keys"])
+
+
 def near_pairs(prints: DataFrame, most_bits: int = MOST_BITS, tables: int = TABLES) -> DataFrame:
     """(a, b): verified edges between nodes (node, prints) that join all near ones."""
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(_BITS)))
     variants = (
-        prints.select("node", F.posexplode("prints").alias("t", "print"))
+        prints.select("node", "prints").mapInArrow(_with_extra, "node long, keys array<long>")
+        .select("node", F.posexplode("keys").alias("t", "print"))
         .select("node", "t", "print", F.explode(flips).alias("flip"))
         .select((F.shiftleft(F.col("t").cast("long"), _BITS) + F.col("print").bitwiseXOR(F.col("flip"))).alias("variant"), "node")
     )

@@ -120,6 +120,28 @@ def test_simhash_groups(spark):
     assert simhash_dedup.groups(docs(spark, [])).count() == 0
 
 
+def test_simhash_recall_at_the_upper_distances(spark):
+    rng = random.Random(23)
+    rows = []
+    for g in range(1200):
+        ws = words(100, 50_000, rng).split()
+        near = list(ws)
+        for at in rng.sample(range(100), rng.randint(5, 12)):
+            near[at] = f"changed{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(ws)), (2 * g + 1, " ".join(near))]
+    signed = simhash_dedup.signatures(docs(spark, rows)).select(F.col("doc_id").alias("node"), "prints")
+    prints = {r.node: np.array(r.prints, np.uint32) for r in signed.collect()}
+    found = {(r.a, r.b) for r in simhash_dedup.near_pairs(signed).collect()}
+    order = np.stack([prints[i] for i in range(len(rows))])
+    apart = {}
+    for i in range(len(rows)):
+        bits = np.bitwise_count(order[i + 1 :] ^ order[i]).sum(axis=1)
+        apart |= {(i, i + 1 + int(j)): int(bits[j]) for j in np.flatnonzero(bits <= simhash_dedup.MOST_BITS)}
+    assert found <= set(apart) and all(p in found for p, n in apart.items() if n <= 14)
+    upper = [p in found for p, n in apart.items() if n >= 19]
+    assert len(upper) > 80 and np.mean(upper) >= 0.9
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[2][1]
     rows = [(1, words(50) + " Licensed under CC BY-NC 4.0. " + words(50)), (2, words(30) + " " + mit.upper() + " " + words(9)),
