@@ -3,19 +3,28 @@
 The text view sees hashed distinct words and word beginnings and what its characters and
 repetitions look like; the metadata view sees source, language, length and line layout.
 Both are logistic regressions.  They start from a bounded sample of the labelled rows
-(``max_labelled``, in the order of a hash of doc_id); in each round every document is scored
-by both, and each view hands the other up to ``exchange`` documents a class of which it is
-confident.  A fifth of the labelled sample is never fitted: there each view is calibrated
-(Platt), and the calibrated log-odds are added, less the prior counted twice.
+(``max_labelled``, in the order of a hash of doc_id).  In round r every document is scored by
+both, and each view hands the other the documents of which it is surest: of each class r times
+the share ``exchange`` of all documents, if it is ``confident`` of as many (where more are
+equally sure than fit, a share of those by a hash of doc_id).  Labelled documents are never
+handed over.  What is handed over grows with the corpus, so it is fitted in shards of about
+``shard_rows``, each with the labelled sample in one task, and a view is the mean of its shards.
+Ids that fewer than ``least_rows`` rows of a shard hold get no weight there.
+
+A fifth of the labelled sample is never fitted: there each view is calibrated (Platt), and the
+calibrated log-odds are added, less the prior counted twice.  Where that fifth, or the rest,
+lacks a class, all of the sample is fitted and nothing is calibrated.
 
 A document is good where quality is 1 and toxic is 0; a null label is not held against it.
 ``keep`` is score >= ``threshold``, score being the probability of good.
 
 Defined cases: null text, lang or source count as values of their own, an empty or very long
 text is scored like any other.  Labels of one doc_id that differ: the worse counts.  Repeated
-rows get a row each and equal scores; a null doc_id is scored.  Without labels of both classes
+rows get a row each and equal scores; of rows with one doc_id and other texts the one with the
+least ids teaches, so equal tables give equal models.  A null doc_id is scored but teaches
+nothing; doc_id must be a whole number or castable to one.  Without labels of both classes
 every score is the share of good labels (0.5 without any) and all is kept.  Other columns are
-not read; missing lang, source or n_chars count as null.
+not read, whatever their names; missing lang, source or n_chars count as null.
 """
 
 from __future__ import annotations
@@ -25,17 +34,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citeledger.llm.words import WordHasher, mix
+from citeledger.llm.words import WordHasher, fresh, mix
 from citeledger.scratch import drop, keep, load
 
 WORD_BITS, META_BITS = 20, 12
-MAX_LABELLED, ROUNDS, EXCHANGE, CONFIDENT, THRESHOLD = 20_000, 3, 500, 0.97, 0.5
-#: Words that fewer rows of the fitted sample hold get no weight.
-LEAST_ROWS = 3
+MAX_LABELLED, ROUNDS, EXCHANGE, CONFIDENT, THRESHOLD = 20_000, 3, 0.005, 0.97, 0.5
+SHARD_ROWS, LEAST_ROWS, STEPS = 5_000, 3, 150
 _STYLES = 64 * 8
+_SIZES = [(1 << WORD_BITS) + _STYLES, 1 << META_BITS]
 _INPUT = ["text", "lang", "source", "n_chars"]
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 10, 13, 32]] = 0, 1, 2, 3
@@ -150,33 +160,42 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_view(ids: list[np.ndarray], good: np.ndarray, size: int, least_rows: int, start: View | None = None) -> View:
-    """Full-batch Adam on the log-loss with an L2 penalty, fewer steps where a fit is taken further."""
+    """Full-batch Adam on the log-loss with an L2 penalty; ids that fewer than ``least_rows`` rows hold get no weight.
+
+    Entries are held twice, by row and by id, so that both sums run over whole 32-bit arrays.
+    """
     sizes = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.int64)
-    own = np.repeat(np.arange(len(ids)), sizes)
-    often = np.bincount(flat, minlength=size) >= least_rows
-    used = np.flatnonzero(often)
-    place = np.full(size, -1)
-    place[used] = np.arange(len(used))
+    flat = np.concatenate(ids).astype(np.int32)
+    own = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    used = np.flatnonzero(np.bincount(flat, minlength=size) >= least_rows)
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     on = place[flat] >= 0
-    flat, own = place[flat][on], own[on]
-    n, y = len(ids), good.astype(float)
+    flat, own = place[flat[on]], own[on]
+    n, y = len(ids), good.astype(np.float32)
+    # the bias is an id that every row holds, so no row and no id is without an entry
+    flat = np.append(flat, np.full(n, len(used), np.int32))
+    own = np.append(own, np.arange(n, dtype=np.int32))
+    order = np.argsort(own, kind="stable")
+    by_row, row_first = flat[order], np.searchsorted(own[order], np.arange(n))
+    order = np.argsort(flat, kind="stable")
+    by_id, id_first = own[order], np.searchsorted(flat[order], np.arange(len(used) + 1))
+    del flat, own, order, on, place
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    w, b = np.zeros(len(used) + 1), 0.0
+    w = np.zeros(len(used) + 1, np.float32)
     w[-1] = np.log(share / (1 - share))
     if start is not None:
         w[:-1], w[-1] = start.weights[used], start.bias
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, (150 if start is None else 40) + 1):
-        z = np.bincount(own, w[flat], minlength=n) + w[-1]
-        error = (_sigmoid(z) - y) / n
-        g = np.append(np.bincount(flat, error[own], minlength=len(used)), error.sum()) + 2e-5 * w
+    for t in range(1, STEPS + 1):
+        z = np.add.reduceat(w[by_row], row_first)
+        error = ((_sigmoid(z) - y) / n).astype(np.float32)
+        g = np.add.reduceat(error[by_id], id_first) + np.float32(2e-5) * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        w -= (0.1 / (1 - 0.9**t) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
     weights = np.zeros(size, np.float32)
     weights[used] = w[:-1]
-    b = float(w[-1])
-    return View(weights, b)
+    return View(weights, float(w[-1]))
 
 
 def platt(logits: np.ndarray, good: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -213,139 +232,234 @@ class Model:
 
 def _inputs(docs: DataFrame) -> list:
     kinds = {"n_chars": "double"}
+    names = fresh(docs.columns, *_INPUT)
     return [
-        (F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(f"__{c}") for c in _INPUT
+        (F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(name)
+        for c, name in zip(_INPUT, names, strict=True)
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, meta): the ids that the views see, as packed 32-bit integers."""
+def features(docs: DataFrame, carried: bool = False) -> DataFrame:
+    """(doc_id, words, meta): the ids that the views see, as packed 32-bit integers.
+
+    ``carried``: all columns of docs, then words and meta under names that docs does not have.
+    """
+    first = docs if carried else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    width = len(first.columns)
+    names = [*first.columns, *fresh(first.columns, "words", "meta")]
+    kinds = T.StructType([*first.schema.fields, *(T.StructField(x, T.BinaryType()) for x in names[-2:])])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(1, 5)]
+            columns = [batch.column(width + i).to_pylist() for i in range(4)]
             for rows, text_ids, meta in _features(hasher, *columns):
+                at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(rows)),
+                        *(batch.column(i).take(at) for i in range(width)),
                         pa.array([x.tobytes() for x in text_ids], pa.binary()),
                         pa.array([x.astype(np.uint32).tobytes() for x in meta], pa.binary()),
                     ],
-                    names=["doc_id", "words", "meta"],
+                    names=names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(docs)).mapInArrow(
-        compute, "doc_id long, words binary, meta binary"
-    )
+    own = [F.col(f"`{c}`") for c in docs.columns] if carried else [F.col("doc_id").cast("long").alias("doc_id")]
+    return docs.select(*own, *_inputs(docs)).mapInArrow(compute, kinds)
 
 
 def _unpack(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
-def _confident(text: View, meta: View, confident: float, exchange: int, seen: list[np.ndarray]):
-    """For each view and class the first ``exchange`` confident rows of a task by hash, without those seen."""
+def _sure(view: View, ids: list[np.ndarray], good: bool) -> np.ndarray:
+    """How sure a view is of a class, in sixteenths of log-odds."""
+    z = view.logits(ids)
+    return np.floor(np.clip(z if good else -z, -40, 40) * 16).astype(np.int32)
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.zeros((2, 0), np.int64) for _ in range(4)]
+
+def _tally(text: View, meta: View, least: int):
+    """(slot, bin, n): how many rows are that sure; slot 2 * view + class, at -1 all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((4, 641), np.int64)
+        rows = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(3).to_numpy(), batch.column(0).to_numpy()])
-            p = [_sigmoid(text.logits(_unpack(batch.column(1)))), _sigmoid(meta.logits(_unpack(batch.column(2))))]
+            rows += batch.num_rows
+            ids = [_unpack(batch.column(1)), _unpack(batch.column(2))]
             for slot in range(4):
-                sure = (p[slot // 2] >= confident) if slot % 2 else (p[slot // 2] <= 1 - confident)
-                both = np.concatenate([best[slot], rows[:, sure & ~np.isin(rows[1], seen[slot // 2])]], axis=1)
-                best[slot] = both[:, np.lexsort((both[1], both[0]))[:exchange]]
-        for slot, (nth, doc) in enumerate(best):
-            if len(nth):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(nth), slot, np.int32)), pa.array(nth), pa.array(doc)], names=["slot", "nth", "doc_id"]
-                )
+                bins = _sure((text, meta)[slot // 2], ids[slot // 2], slot % 2 == 1)
+                found[slot] += np.bincount(bins[bins >= least], minlength=641)
+        at = np.argwhere(found)
+        slots, bins = np.append(at[:, 0], -1), np.append(at[:, 1], 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slots, pa.int32()), pa.array(bins, pa.int32()), pa.array(np.append(found[at[:, 0], at[:, 1]], rows))], names=["slot", "bin", "n"]
+        )
+
+    return count
+
+
+def _choose(text: View, meta: View, cuts: list[tuple[int, float]]):
+    """(view, doc_id, good, ids) of the rows above each slot's cut, for the view that is taught."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            part = mix(docs.astype(np.uint64)).astype(np.float64) / 2.0**64
+            ids = [_unpack(batch.column(1)), _unpack(batch.column(2))]
+            for slot, (cut, share) in enumerate(cuts):
+                view = slot // 2
+                bins = _sure((text, meta)[view], ids[view], slot % 2 == 1)
+                at = np.flatnonzero((bins > cut) | ((bins == cut) & (part < share)))
+                if len(at):
+                    # each view teaches the other one
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), 1 - view, np.int32)), batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), slot % 2 == 1)), batch.column(2 - view).take(pa.array(at))],
+                        names=["view", "doc_id", "good", "ids"],
+                    )
 
     return choose
 
 
-def train(
-    table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS,
-    exchange: int = EXCHANGE, confident: float = CONFIDENT,
-) -> Model:
-    """The model co-trained on ``features`` of all documents and their labels."""
+def _cut(bins: list[tuple[int, int]], most: int) -> tuple[int, float]:
+    """(bin, share of it) such that about ``most`` rows are above: the surest, of the last bin a share by hash."""
+    taken = 0
+    for at, n in sorted(bins, reverse=True):
+        if taken + n > most:
+            return at, (most - taken) / n
+        taken += n
+    return (min(bins)[0], 1.0) if bins else (10**6, 0.0)
+
+
+def _fitted(examples: DataFrame, shards: list[int], least_rows: int, start: list[View] | None = None) -> list[View]:
+    """The views fitted to (view, shard, doc_id, good, ids), each shard in one task, as the mean over a view's shards."""
+    block = 4096
+
+    def fit(group: pa.Table) -> pa.Table:
+        view, shard = group["view"][0].as_py(), group["shard"][0].as_py()
+        group = group.sort_by("doc_id")
+        good = group["good"].to_numpy().astype(bool)
+        model = fit_view(_unpack(group["ids"]), good, _SIZES[view], least_rows, start[view] if start else None)
+        parts = [model.weights[i : i + block] for i in range(0, _SIZES[view], block)]
+        held = [i for i, x in enumerate(parts) if x.any()]
+        return pa.table(
+            {
+                "view": pa.array([view] * (len(held) + 1), pa.int32()), "shard": pa.array([shard] * (len(held) + 1), pa.int32()),
+                "block": pa.array([-1, *held], pa.int32()),
+                "part": pa.array([np.array([model.bias], np.float32).tobytes(), *(parts[i].tobytes() for i in held)], pa.binary()),
+            }
+        )
+
+    def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("shard")
+        total = np.sum([np.frombuffer(x, np.float32) for x in group["part"].to_pylist()], axis=0, dtype=np.float64)
+        part = (total / shards[group["view"][0].as_py()]).astype(np.float32).tobytes()
+        return pa.table({"view": group["view"][:1], "block": group["block"][:1], "part": pa.array([part], pa.binary())})
+
+    blocks = (
+        examples.groupBy("view", "shard").applyInArrow(fit, "view int, shard int, block int, part binary")
+        .groupBy("view", "block").applyInArrow(mean, "view int, block int, part binary")
+    )
+    out = [View(np.zeros(size, np.float32), 0.0) for size in _SIZES]
+    # the weights themselves, 4 MB whatever the input
+    for row in blocks.toArrow().to_pylist():
+        part = np.frombuffer(row["part"], np.float32)
+        if row["block"] < 0:
+            out[row["view"]].bias = float(part[0])
+        else:
+            out[row["view"]].weights[row["block"] * block :][: len(part)] = part
+    return out
+
+
+def _given(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the labelled documents; of labels that differ, the worse counts."""
     good = (F.min(F.coalesce("quality", F.lit(1))) == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
-    sample = (
+    return (
         labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(good.alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
+
+
+def train(
+    table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS,
+    exchange: float = EXCHANGE, confident: float = CONFIDENT, shard_rows: int = SHARD_ROWS, least_rows: int = LEAST_ROWS,
+) -> Model:
+    """The model co-trained on ``features`` of all documents and their labels."""
+    given = _given(labels)
     # at most max_labelled narrow rows, whatever the size of the corpus
-    spark = table.sparkSession
-    chosen = sample.toArrow()
-    known = spark.createDataFrame(chosen.to_pandas(), "doc_id long, good boolean") if chosen.num_rows else None
-    if known is None:
-        return Model(None, None, 0.0)
-    rows = (
-        table.join(F.broadcast(known), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .select("good", "words", "meta")
-        .toArrow()
+    sample = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    labelled = keep(
+        table.join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "good")
+        .agg(F.min(F.struct("words", "meta")).alias("row"))
+        .select("doc_id", "good", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 4).alias("apart"), "row.words", "row.meta"),
+        "labelled",
     )
-    y = np.array(rows.column("good").to_pylist(), bool)
-    share = (y.sum() + 1) / (len(y) + 2)
-    prior = float(np.log(share / (1 - share)))
-    if y.all() or not y.any():
-        return Model(None, None, prior)
-    words, meta = _unpack(rows.column("words")), _unpack(rows.column("meta"))
-    apart = np.arange(len(y)) % 5 == 4
-    if y[apart].all() or not y[apart].any() or y[~apart].all() or not y[~apart].any():
-        apart[:] = False  # too few labels to set a fold apart
-    base = np.flatnonzero(~apart)
-    more: dict[str, list[tuple[np.ndarray, bool]]] = {"text": [], "meta": []}
-
-    def fitted(*start: View) -> tuple[View, View]:
-        out: list[View] = []
-        for name, ids, size, least in (
-            ("text", words, (1 << WORD_BITS) + _STYLES, LEAST_ROWS), ("meta", meta, 1 << META_BITS, LEAST_ROWS),
-        ):
-            extra = more[name]
-            out.append(fit_view([ids[i] for i in base] + [x for x, _ in extra], np.append(y[base], [g for _, g in extra]), size, least, start[len(out)] if start else None))
-        return out[0], out[1]
-
-    text_view, meta_view = fitted()
-    pool = (
-        table.where("doc_id is not null").join(F.broadcast(known), "doc_id", "left_anti")
-        .select("doc_id", "words", "meta", F.xxhash64("doc_id").alias("nth"))
-    )
-    seen = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    by_slot = Window.partitionBy("slot").orderBy("nth", "doc_id")
-    for _ in range(rounds):
-        # only ids are shuffled; the features of the few that are chosen are looked up
-        handed = (
-            pool.mapInArrow(_confident(text_view, meta_view, confident, exchange, seen), "slot int, nth long, doc_id long")
-            .distinct()
-            .withColumn("place", F.row_number().over(by_slot))
-            .where(F.col("place") <= exchange)
-            .select("slot", "doc_id").toArrow()
-        )
-        if not handed.num_rows:
-            break
-        slots, docs = handed.column("slot").to_numpy(), handed.column("doc_id").to_numpy()
-        # at most 4 * exchange ids
-        ids = spark.createDataFrame([(int(d),) for d in np.unique(docs)], "doc_id long")
-        rows = table.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", "meta").toArrow()
-        of = dict(zip(rows.column("doc_id").to_pylist(), zip(_unpack(rows.column("words")), _unpack(rows.column("meta")), strict=True), strict=True))
-        for slot, doc in sorted(zip(slots.tolist(), docs.tolist(), strict=True)):
-            # the text view teaches the metadata view and the other way round
-            more["text" if slot // 2 else "meta"].append((of[doc][0 if slot // 2 else 1], bool(slot % 2)))
-        seen = [np.append(seen[v], docs[slots // 2 == v]) for v in (0, 1)]
-        text_view, meta_view = fitted(text_view, meta_view)
-    fold = np.flatnonzero(apart) if apart.any() else base
-    for view, ids in ((text_view, words), (meta_view, meta)):
-        view.scale, view.shift = platt(view.logits([ids[i] for i in fold]), y[fold])
-    return Model(text_view, meta_view, prior)
+    try:
+        counts = {(r["good"], r["apart"]): r["n"] for r in labelled.groupBy("good", "apart").agg(F.count("*").alias("n")).collect()}
+        n_good, n_bad = (sum(n for (g, _), n in counts.items() if g is kind) for kind in (True, False))
+        share = (n_good + 1) / (n_good + n_bad + 2)
+        prior = float(np.log(share / (1 - share)))
+        if not n_good or not n_bad:
+            return Model(None, None, prior)
+        # a fold that lacks a class calibrates nothing: then all is fitted and the logits stand as they are
+        folds = len(counts) == 4
+        base = labelled.where(~F.col("apart")) if folds else labelled
+
+        def examples(shards: list[int], handed: DataFrame | None) -> DataFrame:
+            out = None
+            for view, ids in enumerate(("words", "meta")):
+                part = base.select(
+                    F.lit(view).alias("view"), F.explode(F.sequence(F.lit(0), F.lit(shards[view] - 1))).alias("shard"),
+                    "doc_id", "good", F.col(ids).alias("ids"),
+                )
+                out = part if out is None else out.unionAll(part)
+            if handed is not None:
+                shard = F.when(F.col("view") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(shards[0]))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shards[1])))
+                out = out.unionAll(handed.select("view", shard.cast("int").alias("shard"), "doc_id", "good", "ids"))
+            return out
+
+        views = _fitted(examples([1, 1], None), [1, 1], least_rows)
+        pool = table.where("doc_id is not null").select("doc_id", "words", "meta")
+        least = int(np.ceil(np.log(confident / (1 - confident)) * 16))
+        for nth in range(1, rounds + 1):
+            # at most 4 * 641 counts
+            tally = pool.mapInArrow(_tally(*views, least), "slot int, bin int, n long").groupBy("slot", "bin").agg(F.sum("n").alias("n")).collect()
+            rows = sum(r["n"] for r in tally if r["slot"] < 0)
+            by_slot = [[(r["bin"], r["n"]) for r in tally if r["slot"] == slot] for slot in range(4)]
+            if not any(by_slot):
+                break
+            most = int(np.ceil(nth * exchange * rows))
+            handed = (
+                pool.mapInArrow(_choose(*views, [_cut(x, most) for x in by_slot]), "view int, doc_id long, good boolean, ids binary")
+                .join(given.select("doc_id"), "doc_id", "left_anti")
+                .groupBy("view", "doc_id")
+                .agg(F.min(F.struct("ids", "good")).alias("row"))
+                .select("view", "doc_id", "row.good", "row.ids")
+            )
+            taught = [sum(min(most, sum(n for _, n in by_slot[s])) for s in slots) for slots in ((2, 3), (0, 1))]
+            shards = [max(1, -(-n // shard_rows)) for n in taught]
+            views = _fitted(examples(shards, handed), shards, least_rows, views)
+        if folds:
+            # at most a fifth of max_labelled, two numbers each
+            fold = _logits(labelled.where("apart"), views).toArrow()
+            good = np.array(fold["good"].to_pylist(), bool)
+            for view, name in zip(views, ("text", "meta"), strict=True):
+                view.scale, view.shift = platt(fold[name].to_numpy(), good)
+        return Model(*views, prior)
+    finally:
+        drop(labelled)
+
+
+def _logits(labelled: DataFrame, views: list[View]) -> DataFrame:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = views[0].logits(_unpack(batch.column(1))), views[1].logits(_unpack(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b)], names=["good", "text", "meta"])
+
+    rows = labelled.orderBy("doc_id").select("good", "words", "meta")
+    return rows.mapInArrow(score, "good boolean, text double, meta double")
 
 
 def scored(table: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -368,27 +482,23 @@ def scored(table: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
-    """docs without the rows that the classifier rejects; no shuffle of the documents."""
-    table = keep(features(docs), "features")
-    model = train(table, labels, **settings)
-    drop(table)
+    """docs without the rows that the classifier rejects; no shuffle of the documents, features computed once."""
+    table = keep(features(docs, carried=True), "features")
+    words, meta = table.columns[-2:]
+    ids = [F.col(f"`{words}`").alias("words"), F.col(f"`{meta}`").alias("meta")]
+    model = train(table.select(F.col("doc_id").cast("long").alias("doc_id"), *ids), labels, **settings)
     held = docs.sparkSession.sparkContext.broadcast(model)
     width = len(docs.columns)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
-            if held.value.text is None:
-                yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
-                continue
-            columns = [batch.column(width + i).to_pylist() for i in range(4)]
-            good = np.ones(batch.num_rows, bool)
-            for rows, text_ids, meta in _features(hasher, *columns):
-                good[rows] = held.value.scores(text_ids, meta)[2] >= threshold
-            part = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width])
+            part = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+            if held.value.text is not None:
+                both = held.value.scores(_unpack(batch.column(width)), _unpack(batch.column(width + 1)))[2]
+                part = part.filter(pa.array(both >= threshold))
+            yield part
 
-    return docs.select("*", *_inputs(docs)).mapInArrow(accept, docs.schema)
+    return table.mapInArrow(accept, docs.schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

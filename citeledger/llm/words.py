@@ -166,3 +166,14 @@ def sliding(values: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
         block = op(block[:-have], block[have:])
         have *= 2
     return op(block[:size], block[width - have : width - have + size])
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column has them already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
