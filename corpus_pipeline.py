@@ -1,7 +1,14 @@
-"""A training-data pipeline: STAGES run in order over the documents table."""
+"""A training-data pipeline: STAGES run in order over the documents table.
+
+A stage's input is a table that was written: what the stages before it kept in the shared
+folder has been read by then, and is removed.  So one pipeline runs at a time in a process.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from citeledger.llm.cotraining import without_rejected
@@ -9,29 +16,49 @@ from citeledger.llm.decontaminate import removal_spans
 from citeledger.llm.harmonic_packing import pack
 from citeledger.llm.simhash_dedup import without_near_copies
 from citeledger.llm.substring_dedup import repeats, without_spans
-from citeledger.scratch import keep, load
+from citeledger.scratch import keep, load, noted, release
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_kept: list[str] = []
+
+
+def _clearing(stage: Stage) -> Stage:
+    """The stage, after the tables that earlier ones kept are removed."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _kept)
+        with noted(_kept):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_clearing
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     return without_rejected(docs, load(spark, sf_dir, "labels"))
 
 
+@_clearing
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return without_near_copies(docs)
 
 
+@_clearing
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, except where they come first; documents left without words go."""
     return without_spans(docs, repeats(docs), with_digest=True)
 
 
+@_clearing
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents left without words go."""
     return without_spans(docs, removal_spans(docs, load(spark, sf_dir, "benchmark")), with_digest=False)
 
 
+@_clearing
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bins of what is left."""
     return pack(docs)
