@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeledger.functions.text import clean, fold
+from citeledger.functions.text import clean, fold, let
 from citeledger.schema import KINDS
 
 DOI = r"(?i)10\.\d{4,9}/[^\s\"<>]+"
 
 
-def _doi_of(text: Column) -> Column:
-    """normalize_doi of text that is clean."""
-    bare = F.regexp_replace(F.trim(text), r"^[(\[{<\"']+", "")
-    bare = F.regexp_replace(bare, r"(?i)^(https?://(dx\.)?doi\.org/|doi:\s*)", "")
-    bare = F.regexp_replace(F.trim(bare), r"[.,;:'\"\]}>]+$", "")
+def _without_surplus(bare: Column) -> Column:
+    """A DOI without closing brackets at its end that nothing opens."""
     closing = F.length(F.regexp_extract(bare, r"(\)*)$", 1))
-    surplus = F.length(F.regexp_replace(bare, r"[^)]", "")) - F.length(F.regexp_replace(bare, r"[^(]", ""))
+    surplus = F.length(F.translate(bare, "(", "")) - F.length(F.translate(bare, ")", ""))
     cut = F.greatest(F.lit(0), F.least(closing, surplus))
     return F.lower(F.substring(bare, F.lit(1), F.length(bare) - cut))
 
 
+def _doi_of(text: Column) -> Column:
+    """normalize_doi of text that is clean."""
+    bare = F.regexp_replace(F.trim(text), r"(?i)^[(\[{<\"']*(https?://(dx\.)?doi\.org/|doi:\s*)?", "")
+    return let(F.regexp_replace(F.trim(bare), r"[.,;:'\"\]}>]+$", ""), _without_surplus)
+
+
 def normalize_doi(value: Column) -> Column:
     """Lower-case DOI without resolver, wrapping and unbalanced brackets; '' for none."""
     return _doi_of(clean(value))
@@ -37,22 +40,34 @@ def parse_year(value: Column) -> Column:
     return F.regexp_extract(clean(value), r"(1[5-9]\d\d|20\d\d)", 1).try_cast("int")
 
 
+def page_of(text: Column) -> Column:
+    """first_page of text that is clean."""
+    return F.lower(F.regexp_replace(F.regexp_extract(text, r"^\s*[A-Za-z]?\d+", 0), r"^\s*([A-Za-z]?)0*(?=\d)", "$1"))
+
+
 def first_page(value: Column) -> Column:
     """Opening page without leading zeros, a letter before it kept; '' for none."""
-    text = F.replace(clean(value), F.lit("--"), F.lit("-"))
-    at = r"^\s*([A-Za-z]?)0*(\d+)"
-    return F.concat(F.lower(F.regexp_extract(text, at, 1)), F.regexp_extract(text, at, 2))
+    return page_of(clean(value))
+
+
+def article_number_of(text: Column) -> Column:
+    """is_article_number of text that is clean."""
+    enough = lambda page: (page != "") & (F.length(page) >= F.when(page.rlike(r"^\d+$"), 6).otherwise(4))
+    return ~F.contains(text, F.lit("-")) & let(page_of(text), enough)
 
 
 def is_article_number(value: Column) -> Column:
-    text, page = clean(value), first_page(value)
-    enough = F.when(page.rlike(r"^\d+$"), F.length(page) >= 6).otherwise(F.length(page) >= 4)
-    return ~F.contains(text, F.lit("-")) & (page != "") & enough
+    return let(clean(value), article_number_of)
 
 
-def normalize_kind(value: Column) -> Column:
+def kind_of(key: Column) -> Column:
+    """normalize_kind of a comparison key."""
     table = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.replace(fold(value), F.lit(" "), F.lit("-"))), F.lit("other"))
+    return F.coalesce(F.try_element_at(table, F.replace(key, F.lit(" "), F.lit("-"))), F.lit("other"))
+
+
+def normalize_kind(value: Column) -> Column:
+    return kind_of(fold(value))
 
 
 def _weighted(text: Column, weights: list[int]) -> Column:
@@ -75,12 +90,15 @@ def valid_isbn13(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{13}$") & (_weighted(text, [1, 3] * 6 + [1]) % 10 == 0), F.lit(False))
 
 
+def _isbn13_of(text: Column) -> Column:
+    body = F.concat(F.lit("978"), F.substring(text, 1, 9))
+    check = let(body, lambda b: F.concat(b, F.pmod(-_weighted(b, [1, 3] * 6), F.lit(10)).cast("string")))
+    return F.when(valid_isbn13(text), text).when(valid_isbn10(text), check)
+
+
 def normalize_isbn13(value: Column) -> Column:
     """The ISBN-13 of a valid ISBN, else null."""
-    text = isbn_text(value)
-    body = F.concat(F.lit("978"), F.substring(text, 1, 9))
-    check = F.pmod(-_weighted(body, [1, 3] * 6), F.lit(10)).cast("string")
-    return F.when(valid_isbn13(text), text).when(valid_isbn10(text), F.concat(body, check))
+    return let(isbn_text(value), _isbn13_of)
 
 
 def strongest_identifier(doi: Column, pmid: Column, arxiv: Column, isbn: Column) -> Column:

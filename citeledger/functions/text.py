@@ -1,7 +1,8 @@
 """Display text (``clean``) and comparison keys (``fold``) as columns.
 
-Both run inside the JVM for plain ASCII without markup; other values go to one vectorised
-Python function each, and only those: the rest are handed over as null.
+Both run inside the JVM for ASCII, accented Latin letters and typographic marks without markup;
+other values go to one vectorised Python function each, and only those: the rest are handed
+over as null.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -20,8 +23,16 @@ _ACCENT = re.compile(r"""\\[~=.^`'"bcdHkrtuv]\s*\{?([A-Za-z])\}?|\{\\[A-Za-z]+\s
 _COMMAND, _TAG = re.compile(r"\\([A-Za-z]+)\s*"), re.compile("<[^>]+>")
 _DASHES, _SINGLE, _DOUBLE, _BLANKS = "‐‑‒–—―−", "‘’‚‛", "“”„", "\u00a0\u2009\u202f"
 _PUNCTUATION = {ord(c): to for cs, to in ((_DASHES, "-"), (_SINGLE, "'"), (_DOUBLE, '"'), (_BLANKS, " ")) for c in cs}
-#: Values that the JVM path can't take: not ASCII, or with entities, markup or LaTeX.
-_NEEDS_PYTHON = r"[^\x00-\x7f]|[&<\\{}]|[\x1c-\x1f]"
+#: Accented letters that decompose into a letter of the alphabet and marks, and those letters.
+_LATIN = {
+    c: d[0]
+    for c in map(chr, range(0xC0, 0x180))
+    if c.isalpha() and unicodedata.normalize("NFKC", c) == c and len(c.lower()) == 1
+    if (d := unicodedata.normalize("NFKD", c))[0].isascii() and len(d) > 1 and all(map(unicodedata.combining, d[1:]))
+}
+_MARKS = "".join(map(chr, _PUNCTUATION))
+#: Values that the JVM path can't take: other characters, or entities, markup or LaTeX.
+_NEEDS_PYTHON = r"[^\x00-\x7f" + "".join(_LATIN) + _MARKS + r"]|&[A-Za-z#]|[<\\{}]|[\x1c-\x1f]"
 
 
 def clean_text(value: str | None) -> str:
@@ -30,7 +41,7 @@ def clean_text(value: str | None) -> str:
         return ""
     text = _TAG.sub("", html.unescape(str(value)))
     text = _ACCENT.sub(lambda m: m.group(1) or m.group(2) or "", text)
-    text = _COMMAND.sub("", text).replace("{", "").replace("}", "")
+    text = _COMMAND.sub(lambda m: "&" if m[1] == "amp" else " ", text).replace("{", "").replace("}", "")
     text = unicodedata.normalize("NFKC", text.translate(_PUNCTUATION))
     return " ".join(text.split())
 
@@ -60,9 +71,18 @@ def _fold_udf(values: pd.Series) -> pd.Series:
     return values.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _fold_all_udf(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda values: [fold_text(v) for v in values if clean_text(v)], na_action="ignore")
+def _each(lists: pa.Array, one: Callable[[str | None], str]) -> pa.Array:
+    return pa.array([None if v is None else [one(x) for x in v] for v in lists.to_pylist()], pa.list_(pa.string()))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _clean_each_udf(lists: pa.Array) -> pa.Array:
+    return _each(lists, clean_text)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _fold_each_udf(lists: pa.Array) -> pa.Array:
+    return _each(lists, fold_text)
 
 
 @F.pandas_udf(DoubleType())
@@ -70,26 +90,52 @@ def _ratio_udf(stored: pd.Series, registry: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or r is None else ratio(s, r) for s, r in zip(stored, registry, strict=True)], dtype=float)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hard(value: Column) -> Column:
     return F.when(value.rlike(_NEEDS_PYTHON), value)
 
 
+def _easy_clean(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(value, _MARKS, "".join(_PUNCTUATION.values())), r"\s+", " "))
+
+
+def _easy_fold(value: Column) -> Column:
+    text = F.lower(F.replace(value, F.lit("&"), F.lit(" and ")))
+    return F.trim(F.regexp_replace(F.translate(text, "".join(_LATIN), "".join(_LATIN.values())), "[^a-z0-9]+", " "))
+
+
 def clean(value: Column) -> Column:
     """Display text; null is ''."""
-    easy = F.trim(F.regexp_replace(value, r"\s+", " "))
-    return F.coalesce(_clean_udf(_hard(value)), easy, F.lit(""))
+    return F.coalesce(_clean_udf(_hard(value)), _easy_clean(value), F.lit(""))
 
 
 def fold(value: Column) -> Column:
     """Comparison key; null is ''."""
-    easy = F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "))
-    return F.coalesce(_fold_udf(_hard(value)), easy, F.lit(""))
+    return F.coalesce(_fold_udf(_hard(value)), _easy_fold(value), F.lit(""))
+
+
+def _over(values: Column, easy: Callable[[Column], Column], hard: Callable[[Column], Column]) -> Column:
+    native = F.transform(values, lambda v: F.coalesce(easy(v), F.lit("")))
+    return F.coalesce(hard(F.when(F.exists(values, lambda v: F.coalesce(v.rlike(_NEEDS_PYTHON), F.lit(False))), values)), native)
+
+
+def clean_each(values: Column) -> Column:
+    """Display texts of an array, place by place; only arrays with a hard value reach Python."""
+    return _over(values, _easy_clean, _clean_each_udf)
+
+
+def fold_each(values: Column) -> Column:
+    """Comparison keys of an array, place by place; only arrays with a hard value reach Python."""
+    return _over(values, _easy_fold, _fold_each_udf)
 
 
 def fold_all(values: Column) -> Column:
-    """Comparison keys of an array's values that have display text, in order; only arrays with a hard one reach Python."""
-    easy = F.transform(F.filter(values, lambda v: v.rlike(r"\S")), lambda v: F.trim(F.regexp_replace(F.lower(v), "[^a-z0-9]+", " ")))
-    return F.coalesce(_fold_all_udf(F.when(F.exists(values, lambda v: v.rlike(_NEEDS_PYTHON)), values)), easy)
+    """Comparison keys of an array's values that have display text, in order."""
+    return F.filter(fold_each(F.filter(values, lambda v: v.rlike(r"\S"))), lambda v: v != "")
 
 
 def similarity(stored: Column, registry: Column, stored_key: Column, registry_key: Column) -> Column:

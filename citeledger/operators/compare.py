@@ -1,8 +1,10 @@
 """Field-by-field comparison of stored references with registry records, and the verdict.
 
-The input is one row a reference: its own columns, ``primary`` and ``corroborator`` (records or
-null) and ``records`` (all records found).  Everything but title ratios and bylines is a native
-expression; issues come in a fixed order.
+The input is one row a reference: its own columns, ``route``, ``identifier``, ``asked``,
+``primary`` and ``corroborator`` (records or null) and ``records`` (all records found).  Display
+texts and comparison keys of all fields are made once, as two arrays; the checks index into
+those.  Everything but title ratios and bylines is a native expression; issues come in a fixed
+order.  Notes are this engine's own words.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeledger.functions.identifiers import first_page, normalize_doi, normalize_kind
+from citeledger.functions.identifiers import kind_of, normalize_doi, page_of
 from citeledger.functions.names import byline_diff
-from citeledger.functions.text import clean, fold, fold_all, similarity
+from citeledger.functions.text import clean_each, fold_all, fold_each, similarity
 from citeledger.operators import rules
-from citeledger.schema import ARTIFACT, COMPATIBLE_KINDS, CONCERN, ISSUE, NO_RETRACTION_SIGNAL, REGISTRIES
+from citeledger.schema import ARTIFACT, COMPATIBLE_KINDS, CONCERN, ISSUE, NO_RESOLUTION_SIGNAL, NO_RETRACTION_SIGNAL, REGISTRIES
 
 
 @dataclass(frozen=True)
@@ -31,10 +33,10 @@ class Thresholds:
     book_mismatch: float = 0.75
 
 
-def issue(field: str, kind: str, severity: str, stored=None, registry=None, source=None, note=None) -> Column:
+def issue(field, kind: str, severity: str, stored=None, registry=None, source=None, note=None) -> Column:
     text = lambda v: F.lit(v) if isinstance(v, str) else F.lit("") if v is None else F.coalesce(v.cast("string"), F.lit(""))
     return F.struct(
-        F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text(stored).alias("stored"),
+        text(field).alias("field"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text(stored).alias("stored"),
         text(registry).alias("registry"), text(source).alias("source"), text(note).alias("note"),
     )
 
@@ -45,15 +47,21 @@ def ordered_sources(names: Column) -> Column:
     return F.concat(F.array_intersect(known, names), F.array_sort(F.array_except(names, known)))
 
 
-def consulted(name: Column, present: Column, asked: Column, unreachable: list[str]) -> Column:
+def consulted(name: Column, present: Column, asked: Column, unreachable: Column) -> Column:
     """answered, unreachable or not-asked: an outage outweighs having asked."""
-    down = name.isin(unreachable) if unreachable else F.lit(False)
     return (
-        F.when(down & ~F.array_contains(present, name), "unreachable")
+        F.when(F.array_contains(unreachable, name), "unreachable")
         .when(F.array_contains(F.array_union(present, asked), name), "answered").otherwise("not-asked")
     )
 
 
+def consultations(present: Column, asked: Column, unreachable: Column) -> Column:
+    """Map of every registry that took part, and of the canonical ones in any case, to its state."""
+    known = F.array(*(F.lit(r) for r in REGISTRIES))
+    names = ordered_sources(F.array_union(known, F.array_union(present, F.array_union(asked, unreachable))))
+    return F.map_from_arrays(names, F.transform(names, lambda n: consulted(n, present, asked, unreachable)))
+
+
 def compatible(a: Column, b: Column) -> Column:
     pairs = [((a == x) & (b == y)) | ((a == y) & (b == x)) for x, y in COMPATIBLE_KINDS]
     out = (a == b) | (a == "other") | (b == "other")
@@ -62,86 +70,125 @@ def compatible(a: Column, b: Column) -> Column:
     return out
 
 
-def _either(attr: str) -> tuple[Column, Column]:
-    """The primary's value, or the corroborator's where it has none, and whose it is (made by ``prepared``)."""
-    return F.col(f"v_{attr}"), F.col(f"from_{attr}")
+_FIELDS = ["title", "container", "volume", "issue", "publisher", "pages"]
+_SIDES = ["own", "primary", "corroborator"]
+_SHORT, _KIND, _REGISTRY_KIND = (len(_FIELDS) * len(_SIDES) + i for i in range(3))
+
+
+def _at(side: str, field: str) -> int:
+    return _SIDES.index(side) * len(_FIELDS) + _FIELDS.index(field)
 
 
-def _chosen(attr: str) -> tuple[Column, Column]:
-    first, second = (F.coalesce(F.col(f"{r}.{attr}"), F.lit("")) for r in ("primary", "corroborator"))
-    return F.when(first != "", first).otherwise(second), F.when(first != "", F.col("primary.source")).when(
-        second != "", F.col("corroborator.source")
-    ).otherwise("")
+def _shown(side: str, field: str) -> Column:
+    return F.get("shown", F.lit(_at(side, field)))
 
 
-_SCALARS = ["container", "volume", "issue", "publisher"]
+def _key(side: str, field: str) -> Column:
+    return F.get("keys", F.lit(_at(side, field)))
 
 
-def prepared(rows: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """rows with the keys, scores and byline differences that the checks need."""
-    for f in ["title", *_SCALARS, "pages"]:
-        value, source = _chosen(f)
-        rows = rows.select("*", value.alias(f"v_{f}"), source.alias(f"from_{f}"))
-    out: dict[str, Column] = {}
-    for f in ["title", *_SCALARS]:
-        out[f"k_{f}"] = fold(F.col(f))
-        out[f"p_{f}"], out[f"c_{f}"] = fold(F.col(f"primary.{f}")), fold(F.col(f"corroborator.{f}"))
-    out["k_short"] = fold(F.coalesce(F.nullif("primary.container_short", F.lit("")), F.col("corroborator.container_short")))
-    out["k_alternates"] = fold_all(F.concat(*(F.coalesce(F.col(f"{r}.container_alternates"), F.array()) for r in ("primary", "corroborator"))))
-    out["kind_key"], out["p_kind"] = normalize_kind(F.col("kind")), normalize_kind(F.col("primary.kind"))
-    for side, col in (("k", "pages"), ("p", "primary.pages"), ("c", "corroborator.pages")):
-        out[f"{side}_page"] = first_page(F.col(col))
-    rows = rows.withColumns(out)
-    score = lambda r: similarity(F.col("title"), F.col(f"{r}.title"), F.col("k_title"), F.col(f"{r[0]}_title"))
+def _has(side: str, field: str) -> Column:
+    return F.coalesce(F.col(f"{side}.{field}"), F.lit("")) != ""
+
+
+def _either(field: str) -> tuple[Column, Column, Column]:
+    """(display text, key, source) of the primary's value, or of the corroborator's where it has none."""
+    first, second = _has("primary", field), _has("corroborator", field)
+    pick = lambda a, b, none: F.when(first, a).when(second, b).otherwise(none)
+    return (
+        pick(_shown("primary", field), _shown("corroborator", field), ""), pick(_key("primary", field), _key("corroborator", field), ""),
+        pick(F.col("primary.source"), F.col("corroborator.source"), ""),
+    )
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows with the texts, keys, scores and byline differences that the checks need."""
+    side = lambda s, f: F.col(f) if s == "own" else F.col(f"{s}.{f}")
+    texts = F.array(
+        *(F.coalesce(side(s, f), F.lit("")) for s in _SIDES for f in _FIELDS),
+        *(F.coalesce(F.col(c), F.lit("")) for c in ("primary.container_short", "kind", "primary.kind")),
+    )
+    alternates = F.concat(*(F.coalesce(F.col(f"{r}.container_alternates"), F.array()) for r in ("primary", "corroborator")))
+    rows = rows.withColumn("texts", texts).withColumn("alternates", alternates)
+    rows = rows.withColumns({"shown": clean_each(F.col("texts")), "keys": fold_each(F.col("texts")), "k_alternates": fold_all(F.col("alternates"))})
+    score = lambda r: similarity(_shown("own", "title"), _shown(r, "title"), _key("own", "title"), _key(r, "title"))
     listed = F.when(F.size("primary.authors") > 0, F.col("primary.authors")).otherwise(F.col("corroborator.authors"))
-    return rows.withColumns(
+    rows = rows.withColumns(
+        {
+            "score_p": score("primary"), "score_c": score("corroborator"), "listed": listed,
+            "own_kind": kind_of(F.get("keys", F.lit(_KIND))), "registry_kind": kind_of(F.get("keys", F.lit(_REGISTRY_KIND))),
+        }
+    )
+    # the title that is nearer to the stored one; of equal ones the primary's
+    second = (_shown("corroborator", "title") != "") & ((_shown("primary", "title") == "") | (F.col("score_c") > F.col("score_p")))
+    rows = rows.withColumns(
         {
-            "score": F.greatest(score("primary"), F.when(F.col("corroborator").isNotNull(), score("corroborator"))),
-            "listed": listed,
-            "diff": byline_diff(F.col("authors"), listed),
+            "best_title": F.when(second, _shown("corroborator", "title")).otherwise(_shown("primary", "title")),
+            "best_key": F.when(second, _key("corroborator", "title")).otherwise(_key("primary", "title")),
+            "best_source": F.when(second, F.col("corroborator.source")).otherwise(F.col("primary.source")),
+            "best_score": F.when(second, F.col("score_c")).otherwise(F.col("score_p")),
+            "diff": byline_diff(F.col("authors"), F.col("listed")),
         }
     )
+    repaired = F.array(rules.once_only(F.col("best_title")), rules.without_parent(F.col("best_title")))
+    changed = F.exists(repaired, lambda t: t != F.col("best_title"))
+    return rows.withColumn("repaired", F.when(changed, repaired)).withColumn("repaired_keys", fold_each(F.col("repaired")))
+
+
+def _quoted(value: Column) -> Column:
+    """A value in quotes: double ones where it has single ones alone."""
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    single = F.contains(value, F.lit("'"))
+    return F.when(single & ~F.contains(value, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    )
+
+
+def _both(first: Column, second: Column) -> Column:
+    return F.concat(F.col("primary.source"), F.lit("="), _quoted(first), F.lit(" vs "), F.col("corroborator.source"), F.lit("="), _quoted(second))
 
 
 def _scalar(field: str) -> Column:
     """One of container, volume, issue, publisher."""
-    stored, mine = F.coalesce(F.col(field), F.lit("")), F.col(f"k_{field}")
-    value, source = _either(field)
-    theirs = F.when(F.coalesce(F.col(f"primary.{field}"), F.lit("")) != "", F.col(f"p_{field}")).otherwise(F.col(f"c_{field}"))
-    corroborated = F.col("corroborator").isNotNull() & (F.coalesce(F.col(f"corroborator.{field}"), F.lit("")) != "")
-    exempt = F.col("kind_key") == "book" if field in ("volume", "issue") else F.lit(False)
-    ladder = F.when(value == "", None).when(stored == "", F.when(~exempt, issue(field, "missing", "warning", stored, value, source)))
-    ladder = ladder.when(mine == theirs, F.when(clean(stored) != clean(value), issue(field, "cosmetic", "info", stored, value, source)))
+    stored, mine = _shown("own", field), _key("own", field)
+    value, theirs, source = _either(field)
+    other, other_key = _shown("corroborator", field), _key("corroborator", field)
+    exempt = F.col("own_kind") == "book" if field in ("volume", "issue") else F.lit(False)
+    ladder = F.when(value == "", None).when(stored == "", F.when(~exempt, issue(field, "missing", "warning", None, value, source)))
+    ladder = ladder.when(mine == theirs, F.when(stored != value, issue(field, "cosmetic", "info", stored, value, source)))
     if field == "container":
-        ladder = ladder.when(F.array_contains("k_alternates", mine), issue(field, "alternate-title", "info", stored, value, source))
-    ladder = ladder.when(
-        corroborated & ((F.col(f"c_{field}") == mine) | ((F.col(f"p_{field}") != F.col(f"c_{field}")) & (F.col(f"p_{field}") != ""))),
-        issue(field, "disputed", "info", stored, value, source),
+        also = F.concat(source, F.lit(" lists this title too"))
+        ladder = ladder.when(F.array_contains("k_alternates", mine), issue(field, "alternate-title", "info", stored, value, source, also))
+    disputed = lambda why: issue(field, "disputed", "info", stored, _both(value, other), "both", why)
+    ladder = ladder.when((other != "") & (other_key == mine), disputed("the corroborating registry has the stored value")).when(
+        (other != "") & (other_key != theirs), disputed("the registries disagree")
     )
     if field == "container":
-        why = rules.abbreviated_container(mine, theirs, F.col("k_short"))
-        ladder = ladder.when(why.isNotNull(), issue(field, ARTIFACT, "info", stored, value, source, why))
+        why = rules.abbreviated_container(mine, theirs, F.get("keys", F.lit(_SHORT)))
+        ladder = ladder.when(why.isNotNull(), issue(field, ARTIFACT, "info", stored, value, F.col("primary.source"), why))
     return ladder.otherwise(issue(field, "mismatch", "error", stored, value, source))
 
 
 def _title(limits: Thresholds) -> Column:
-    stored = F.coalesce(F.col("title"), F.lit(""))
-    value, source = _either("title")
-    mine, theirs = F.col("k_title"), F.when(F.col("p_title") != "", F.col("p_title")).otherwise(F.col("c_title"))
-    relaxed = F.col("kind_key").isin("book", "chapter")
+    stored, mine = _shown("own", "title"), _key("own", "title")
+    value, theirs, source, score = (F.col(f"best_{x}") for x in ("title", "key", "source", "score"))
+    relaxed = F.col("own_kind").isin("book", "chapter")
     high = F.when(relaxed, limits.book_mismatch).otherwise(limits.mismatch)
     low = F.when(relaxed, limits.book_wrong_work).otherwise(limits.wrong_work)
-    why = F.coalesce(rules.shortened_title(mine, theirs), rules.doubled_token(value, mine), rules.bracketed_parent(value, mine))
-    args, score = (stored, value, source), F.col("score")
+    fixed = lambda i: F.get("repaired_keys", F.lit(i)) == mine
+    why = F.coalesce(rules.shortened_title(mine, theirs), rules.doubled_token(fixed(0)), rules.bracketed_parent(fixed(1)))
+    args, note = (stored, value, source), F.format_string("similarity %.2f", score)
+    first = F.when(_shown("primary", "title") != "", _shown("primary", "title")).otherwise(_shown("corroborator", "title"))
+    owner = F.when(_shown("primary", "title") != "", F.col("primary.source")).otherwise(F.col("corroborator.source"))
     return (
         F.when(value == "", None)
-        .when(stored == "", issue("title", "missing", "error", *args))
-        .when((mine == theirs) | (mine == F.col("c_title")), F.when(clean(stored) != clean(value), issue("title", "cosmetic", "info", *args)))
-        .when(why.isNotNull(), issue("title", ARTIFACT, "info", *args, why))
+        .when(stored == "", issue("title", "missing", "error", None, first, owner))
+        .when(mine == theirs, F.when(stored != value, issue("title", "cosmetic", "info", *args)))
+        .when(why.isNotNull(), issue("title", ARTIFACT, "info", stored, value, F.col("primary.source"), why))
         .when(score >= limits.ok, issue("title", "drift", "info", *args))
-        .when(score >= high, issue("title", "drift", "warning", *args))
-        .when(score >= low, issue("title", "mismatch", "error", *args))
-        .otherwise(issue("title", "wrong-work", "error", *args))
+        .when(score >= high, issue("title", "drift", "warning", *args, note))
+        .when(score >= low, issue("title", "mismatch", "error", *args, note))
+        .otherwise(issue("title", "wrong-work", "error", *args, note))
     )
 
 
@@ -157,19 +204,20 @@ def _authors() -> Column:
     source = F.when(F.size("primary.authors") > 0, F.col("primary.source")).otherwise(F.col("corroborator.source"))
     first = F.array_join(F.transform(F.slice(F.col("listed"), 1, 3), _name), "; ")
     at = lambda side, n: F.get(F.transform(F.col(side), _name), n - 1)
+    numbered = lambda n, text: F.concat(F.lit("#"), n.cast("string"), F.lit(" "), text)
+    counted = lambda n: F.concat(n.cast("string"), F.lit(" authors"))
+    none = F.array().cast(f"array<{ISSUE}>")
     excused = F.transform(
-        F.col("diff.reasons"),
-        lambda r: issue("authors", ARTIFACT, "info", at("authors", r["position"]), at("listed", r["position"]), source, r["reason"]),
-    )
-    count = F.when(F.col("diff.count_differs"), F.array(issue("authors", "count", "warning", have, listed, source))).otherwise(
-        F.array().cast(f"array<{ISSUE}>")
+        F.array_sort(F.col("diff.reasons")),
+        lambda r: issue("authors", ARTIFACT, "info", at("authors", r["position"]), at("listed", r["position"]), F.col("primary.source"), r["reason"]),
     )
+    count = F.when(F.col("diff.count_differs"), F.array(issue("authors", "count", "warning", counted(have), counted(listed), source))).otherwise(none)
     wrong = F.transform(
         F.col("diff.mismatches"),
-        lambda m: issue("authors", "mismatch", "error", F.concat(F.lit("#"), m["position"].cast("string"), F.lit(" "), m["stored"]), m["registry"], source),
+        lambda m: issue("authors", "mismatch", "error", numbered(m["position"], m["stored"]), numbered(m["position"], m["registry"]), source),
     )
     return (
-        F.when(listed <= 0, F.array().cast(f"array<{ISSUE}>"))
+        F.when(listed <= 0, none)
         .when(have <= 0, F.array(issue("authors", "missing", "error", None, first, source)))
         .otherwise(F.concat(excused, count, wrong))
     )
@@ -183,62 +231,71 @@ def preferred_year(years: Column) -> Column:
 def _year() -> Column:
     empty = F.array().cast("array<struct<slot:string,year:int>>")
     own, other = (F.coalesce(F.col(f"{r}.years"), empty) for r in ("primary", "corroborator"))
-    every, value = F.concat(own, other), F.coalesce(preferred_year(F.col("primary.years")), preferred_year(F.col("corroborator.years")))
-    source = F.when(F.size(own) > 0, F.col("primary.source")).otherwise(F.col("corroborator.source"))
-    shown = F.array_join(F.array_sort(F.transform(every, lambda y: F.concat(y["slot"], F.lit(" "), y["year"].cast("string")))), ", ")
+    marked = F.transform(other, lambda y: y.withField("slot", F.concat(F.col("corroborator.source"), F.lit(":"), y["slot"])))
+    every, value, source = F.array_sort(F.concat(own, marked)), preferred_year(F.col("primary.years")), F.col("primary.source")
+    shown = F.array_join(F.transform(every, lambda y: F.concat(y["slot"], F.lit("="), y["year"].cast("string"))), ", ")
     stored = F.col("year")
-    accepted = F.exists(every, lambda y: y["year"] == stored)
-    holders = F.array_join(F.array_sort(F.transform(F.filter(every, lambda y: y["year"] == stored), lambda y: y["slot"])), ", ")
-    note = F.coalesce(rules.online_first(stored, own), F.concat(F.lit("held as "), holders))
+    holders = F.array_join(F.transform(F.filter(every, lambda y: y["year"] == stored), lambda y: y["slot"]), ", ")
+    note = F.coalesce(
+        rules.online_first(stored, own, value),
+        F.concat(F.lit("stored year is the "), holders, F.lit(" one; "), source, F.lit(" leads with "), value.cast("string")),
+    )
     why = rules.deposit_stamp(stored, value, own)
+    accepted = F.exists(every, lambda y: y["year"] == stored)
     return (
         F.when(F.size(every) == 0, None)
         .when(stored.isNull(), issue("year", "missing", "warning", None, value, source))
         .when(accepted, F.when(stored != value, issue("year", "alternate-date", "info", stored, shown, source, note)))
-        .when(why.isNotNull(), issue("year", ARTIFACT, "info", stored, shown, source, why))
+        .when(why.isNotNull(), issue("year", ARTIFACT, "info", stored, value, source, why))
         .otherwise(issue("year", "mismatch", "error", stored, shown, source))
     )
 
 
 def _pages() -> Column:
-    stored = F.coalesce(F.col("pages"), F.lit(""))
-    value, source = _either("pages")
-    theirs = F.when(F.coalesce(F.col("primary.pages"), F.lit("")) != "", F.col("p_page")).otherwise(F.col("c_page"))
-    second = F.coalesce(F.col("corroborator.pages"), F.lit("")) != ""
+    stored = _shown("own", "pages")
+    value, _, source = _either("pages")
+    mine, other = page_of(stored), _shown("corroborator", "pages")
     why = rules.article_number(stored, value)
     return (
         F.when(value == "", None)
-        .when(stored == "", F.when(F.col("kind_key") != "book", issue("pages", "missing", "warning", None, value, source)))
-        .when(F.col("k_page") == theirs, None)
-        .when(second & (F.col("c_page") == F.col("k_page")), issue("pages", "disputed", "info", stored, value, source))
-        .when(why.isNotNull(), issue("pages", ARTIFACT, "info", stored, value, source, why))
+        .when(stored == "", F.when(F.col("own_kind") != "book", issue("pages", "missing", "warning", None, value, source)))
+        .when(mine == page_of(value), None)
+        .when((other != "") & (page_of(other) == mine), issue("pages", "disputed", "info", stored, _both(value, other), "both", "the corroborating registry has the stored value"))
+        .when(why.isNotNull(), issue("pages", ARTIFACT, "info", stored, value, F.col("primary.source"), why))
         .otherwise(issue("pages", "mismatch", "error", stored, value, source))
-    )
+    )
 
 
 def _kind() -> Column:
-    return F.when(
-        ~compatible(F.col("kind_key"), F.col("p_kind")),
-        issue("kind", "incompatible", "warning", F.col("kind_key"), F.col("p_kind"), F.col("primary.source")),
-    )
+    mine, theirs = F.col("own_kind"), F.col("registry_kind")
+    return F.when(~compatible(mine, theirs), issue("kind", "incompatible", "warning", mine, theirs, F.col("primary.source"), "the record is of another type than the entry"))
 
 
 def _doi() -> Column:
-    mine, theirs = normalize_doi(F.col("doi")), normalize_doi(F.col("primary.doi"))
-    why = rules.redirecting_doi(mine)
-    return F.when((mine != "") & (theirs != "") & (mine != theirs), issue("doi", "alias", "info", mine, theirs, F.col("primary.source"), why))
+    mine, theirs = F.col("own_doi"), F.col("registry_doi")
+    why = F.coalesce(rules.redirecting_doi(F.col("doi")), F.lit("the record is filed under another DOI than the one that led to it"))
+    return F.when((mine != "") & (theirs != "") & (mine != theirs), issue("doi", "alias", "info", F.col("doi"), F.col("primary.doi"), F.col("primary.source"), why))
 
 
-def _status(unreachable: list[str]) -> Column:
-    concern = lambda r: F.replace(F.lower(F.coalesce(r["retraction_kind"], F.lit(""))), F.lit("-"), F.lit(" ")) == CONCERN
+def _status(unreachable: Column) -> Column:
+    """Array of what the records say about the work's standing."""
+    flat = lambda kind: F.replace(F.lower(F.trim(kind)), F.lit("-"), F.lit(" "))
+    kind_of_notice = lambda r: F.coalesce(F.nullif(r["retraction_kind"], F.lit("")), F.lit("retracted"))
     named = lambda test: ordered_sources(F.transform(F.filter(F.col("records"), test), lambda r: r["source"]))
-    retracting, concerned = named(lambda r: r["retracted"] & ~concern(r)), named(lambda r: r["retracted"] & concern(r))
-    blind = [u for u in unreachable if u not in NO_RETRACTION_SIGNAL]
-    joined = lambda names: F.array_join(names, ", ")
-    return (
-        F.when(F.size(retracting) > 0, issue("status", "retracted", "error", None, None, joined(retracting), F.concat(F.lit("retraction recorded by "), joined(retracting))))
-        .when(F.size(concerned) > 0, issue("status", "expression-of-concern", "error", None, None, joined(concerned), F.concat(F.lit("concern recorded by "), joined(concerned))))
-        .when(F.lit(bool(blind)), issue("status", "retraction-unverified", "info", None, None, ",".join(sorted(blind)), "a source that records retractions was down"))
+    asserts, concern = lambda r: F.coalesce(r["retracted"], F.lit(False)), lambda r: flat(kind_of_notice(r)) == CONCERN
+    retracting, concerned = named(lambda r: asserts(r) & ~concern(r)), named(lambda r: asserts(r) & concern(r))
+    silent = named(lambda r: ~asserts(r))
+    kind_at = lambda n: kind_of_notice(F.get(F.filter(F.col("records"), lambda r: r["source"] == n), F.lit(0)))
+    detail = lambda names: F.when(F.size(names) == 1, kind_at(names[0])).otherwise(
+        F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("="), kind_at(n))), "; ")
+    )
+    said = lambda names: F.array_join(names, ", ")
+    blind = ordered_sources(F.filter(unreachable, lambda u: ~u.isin(NO_RETRACTION_SIGNAL)))
+    against = F.when(F.size(silent) > 0, F.concat(F.lit("; "), said(silent), F.lit(" answered without one"))).otherwise("")
+    return F.array(
+        F.when(F.size(retracting) > 0, issue("status", "retracted", "error", None, detail(retracting), F.array_join(retracting, ","), F.concat(F.lit("retraction recorded by "), said(retracting), against))),
+        F.when(F.size(concerned) > 0, issue("status", CONCERN.replace(" ", "-"), "error", None, detail(concerned), F.array_join(concerned, ","), F.concat(F.lit("doubt, not retraction: concern recorded by "), said(concerned)))),
+        F.when((F.size(retracting) == 0) & (F.size(blind) > 0), issue("status", "retraction-unverified", "info", None, None, F.array_join(blind, ","), F.concat(said(blind), F.lit(" could not be asked whether the work was retracted")))),
     )
 
 
@@ -262,40 +319,56 @@ def verdict(issues: Column, suppressed: Column, authors_ok: Column) -> Column:
     )
 
 
-def _no_record(unreachable: list[str]) -> Column:
+def _no_record(unreachable: Column) -> Column:
     """The one issue of a reference without records."""
-    from citeledger.schema import NO_RESOLUTION_SIGNAL
-
-    down = [u for u in unreachable if u not in NO_RESOLUTION_SIGNAL]
+    down = F.exists(unreachable, lambda u: ~u.isin(NO_RESOLUTION_SIGNAL))
     identified = F.coalesce(F.col("identifier"), F.lit("")) != ""
     field = F.when(F.coalesce(F.col("doi"), F.lit("")) != "", "doi").otherwise("identifier")
-    of = lambda kind, severity: issue("identifier", kind, severity, F.col("identifier")).withField("field", field)
+    rejected = F.when(F.col("explanation").isNotNull(), F.concat(F.lit("no confident match: "), F.col("explanation")))
+    of = lambda kind, severity, why: issue(field, kind, severity, F.col("identifier"), None, None, F.coalesce(rejected, F.lit(why)))
+    # candidates were found wanting: that some registry was down elsewhere is no excuse
+    searched = F.col("explanation").isNotNull()
     return (
-        F.when(F.col("route") == "malformed-isbn", issue("isbn", "malformed", "error", F.col("isbn")))
-        .when(F.lit(bool(down)) & (F.size("asked") > 0), of("unreachable", "info"))
-        .when(identified & (F.size("asked") == 0), of("not-asked", "info"))
-        .when(identified, of("unresolved", "error"))
-        .otherwise(issue("identifier", "absent", "error"))
-    )
+        F.when(F.col("route") == "malformed-isbn", issue("isbn", "malformed", "error", F.col("identifier"), None, None, "the ISBN's check digit is wrong, so no registry was asked"))
+        .when(down & ~searched, of("unreachable", "info", "no registry could be reached"))
+        .when(identified & (F.size("asked") == 0), of("not-asked", "info", "no registry was asked for this identifier"))
+        .when(identified, of("unresolved", "error", "no registry that was asked has it"))
+        .otherwise(issue("identifier", "absent", "error", None, None, None, F.coalesce(rejected, F.lit("no identifier, and no registry record that surely is this work"))))
+    )
 
 
 def compared(rows: DataFrame, unreachable: list[str] = (), limits: Thresholds = Thresholds()) -> DataFrame:
-    """rows with issues, suppressed, authors_ok and verdict."""
-    unreachable = list(unreachable)
-    ready = prepared(rows, limits)
+    """rows with issues, suppressed, authors_ok, title_similarity, consulted and verdict.
+
+    Optional columns: ``failed``, registries that were down for this reference alone, and
+    ``explanation``, why a search confirmed no candidate.
+    """
+    none = F.array().cast("array<string>")
+    for name, default in (("failed", none), ("explanation", F.lit(None).cast("string"))):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, default)
+    down = F.concat(F.array(*map(F.lit, sorted(unreachable))) if unreachable else none, F.coalesce("failed", none))
+    ready = rows.withColumns({"down": F.array_distinct(down), "own_doi": normalize_doi(F.col("doi")), "registry_doi": normalize_doi(F.col("primary.doi"))})
+    ready = prepared(ready)
     found = F.concat(
         F.array(_title(limits)), _authors(),
-        F.array(_year(), *(_scalar(f) for f in _SCALARS[:3]), _pages(), _scalar("publisher"), _kind(), _doi(), _status(unreachable)),
+        F.array(_year(), *(_scalar(f) for f in ("container", "volume", "issue")), _pages(), _scalar("publisher"), _kind(), _doi()),
+        _status(F.col("down")),
     )
-    none = F.array().cast(f"array<{ISSUE}>")
-    every = F.when(F.col("primary").isNull(), F.array(_no_record(unreachable))).otherwise(F.filter(found, lambda i: i.isNotNull()))
+    every = F.when(F.col("primary").isNull(), F.array(_no_record(F.col("down")))).otherwise(F.filter(found, lambda i: i.isNotNull()))
     ok = (F.size("authors") > 0) & (F.size("listed") > 0) & (F.size("diff.mismatches") == 0) & ~F.col("diff.count_differs")
+    present = F.transform("records", lambda r: r["source"])
     helpers = [c for c in ready.columns if c not in rows.columns]
-    out = ready.withColumn("every", every).withColumn("authors_ok", F.coalesce(ok, F.lit(False)))
+    out = ready.withColumns(
+        {
+            "every": every, "authors_ok": F.coalesce(ok, F.lit(False)), "consulted": consultations(present, F.col("asked"), F.col("down")),
+            "title_similarity": F.when((_shown("own", "title") != "") & (F.col("best_title") != ""), F.col("best_score")),
+        }
+    )
     out = out.withColumns(
         {
             "issues": F.filter("every", lambda i: i["kind"] != ARTIFACT),
-            "suppressed": F.coalesce(F.filter("every", lambda i: i["kind"] == ARTIFACT), none),
+            "suppressed": F.filter("every", lambda i: i["kind"] == ARTIFACT),
         }
     )
     unchecked = F.exists("issues", lambda i: i["kind"].isin("unreachable", "not-asked"))

@@ -1,14 +1,14 @@
-"""Relational operators around the comparison: dedup, rules, candidates, citekeys, trees."""
+"""Relational operators around the comparison: dedup, rules, citekeys, trees, pivots."""
 
 from __future__ import annotations
 
 import fnmatch
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeledger.functions.text import fold, similarity
-from citeledger.operators.compare import Thresholds, compatible, verdict
+from citeledger.operators.compare import verdict
 from citeledger.schema import SUPPRESSED
 from citeledger.scratch import keep
 
@@ -27,10 +27,25 @@ def richest(rows: DataFrame, key: str, richness: Column, pos: str = "pos") -> Da
     return keyed.unionByName(loose)
 
 
-def duplicates(rows: DataFrame, key: Column, member: str) -> DataFrame:
-    """(value, members, n): values of key that several rows share."""
+def duplicate_members(rows: DataFrame, key: Column, member: str) -> DataFrame:
+    """(value, member, n): the rows of values of key that several rows share.
+
+    Counts come from a partial aggregation and are joined back, so a value that many rows share
+    is no row of its own and its join can be split.
+    """
+    found = rows.withColumn("value", key).where("value is not null and value <> ''").select("value", F.col(member).alias("member"))
+    return found.join(found.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "value")
+
+
+def duplicates(rows: DataFrame, key: Column, member: str, shown: int = 20) -> DataFrame:
+    """(value, members, n): values of key that several rows share, their number and the first ``shown`` members."""
     found = rows.withColumn("value", key).where("value is not null and value <> ''")
-    return found.groupBy("value").agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n")).where("n > 1")
+    counts = found.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    first = (
+        found.withColumn("nth", F.row_number().over(Window.partitionBy("value").orderBy(member))).where(F.col("nth") <= shown)
+        .groupBy("value").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    )
+    return counts.join(first, "value").select("value", "members", "n")
 
 
 def indel_at_least(a: str, b: str, percent: float) -> bool:
@@ -49,103 +64,85 @@ def indel_at_least(a: str, b: str, percent: float) -> bool:
     return 200 * (len(a) - v.bit_count()) >= percent * total
 
 
-def fuzzy_duplicates(titles: DataFrame, percent: float = 95.0) -> DataFrame:
-    """(a, b): pairs of distinct titles (key, title_key) whose indel ratio reaches percent.
+def fuzzy_duplicates(titles: DataFrame, percent: float = 95.0, gram: int = 4) -> DataFrame:
+    """(a, b): pairs of different titles (key, title_key) whose indel ratio reaches percent, by their least keys.
 
-    Candidates share a piece.  With k edits at most, one of k + 1 pieces of the shorter title is
-    whole in the other, moved by at most k: titles are cut by their own length class, and the
-    other side emits the pieces at every such place.  Nothing that reaches percent is missed.
+    Equal titles are one: ``duplicates`` has those.  A pair that reaches percent differs by few
+    edits, and an edit touches at most ``gram`` of a title's runs of that many characters.  So of
+    each title's runs, rarest first, one more than edits can touch are looked up: every pair
+    shares one of them, and common runs bring nobody together.
     """
-    from pyspark.sql.types import BooleanType
+    low = percent / 100
+    one = titles.where("title_key <> ''").groupBy("title_key").agg(F.min("key").alias("key"))
+    # the other title is at most (2 - low) / low times as long
+    edits = F.floor(F.length("title_key") * ((1 - low) * (1 + (2 - low) / low)) + F.lit(1e-9))
+    runs = F.when(F.length("title_key") < gram, F.array("title_key")).otherwise(
+        F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.length("title_key") - gram + 1), lambda i: F.substring(F.col("title_key"), i, F.lit(gram)))
+        )
+    )
+    held = one.select("key", "title_key", (edits * gram + 1).cast("int").alias("most"), F.explode(runs).alias("run"))
+    rare = held.groupBy("run").agg(F.count("*").alias("held"))
+    looked_up = (
+        held.join(rare, "run").groupBy("key", "title_key", "most").agg(F.array_sort(F.collect_list(F.struct("held", "run"))).alias("runs"))
+        .select("key", "title_key", F.explode(F.slice("runs", F.lit(1), F.col("most"))).alias("r"))
+        .where("r.held > 1").select("key", "title_key", "r.run")
+    )
+    side = lambda n: looked_up.select(F.col("key").alias(n), F.col("title_key").alias(f"t{n}"), "run")
+    short, long = (f(F.length("ta"), F.length("tb")) for f in (F.least, F.greatest))
+    pairs = side("a").join(side("b"), "run").where((F.col("a") < F.col("b")) & (2 * short >= low * (short + long))).select("a", "b", "ta", "tb").distinct()
 
-    near = F.udf(lambda a, b: indel_at_least(a, b, percent), BooleanType(), useArrow=True)
-    slack = (100 - percent) / 100
-    sized = titles.where("title_key <> ''").withColumn("n", F.length("title_key"))
+    @F.arrow_udf("boolean")
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([indel_at_least(x, y, percent) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)])
 
-    def pieces(n: Column, edits: Column) -> Column:
-        parts = edits + 1
-        return F.transform(
-            F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("i"), F.floor(n * i / parts).cast("int").alias("at"), (F.floor(n * (i + 1) / parts) - F.floor(n * i / parts)).cast("int").alias("size"))
-        )
+    return pairs.where(near("ta", "tb")).select("a", "b")
 
-    most = lambda n: F.floor(n * (2 * slack / (1 - slack)) + F.lit(1e-9)).cast("int")
-    left = sized.withColumn("edits", most(F.col("n"))).withColumn("p", F.explode(pieces(F.col("n"), F.col("edits")))).select(
-        F.col("key").alias("a"), F.col("title_key").alias("ta"), F.col("n").alias("na"), F.col("p.i").alias("i"),
-        F.substring("title_key", F.col("p.at") + 1, F.col("p.size")).alias("piece"),
-    )
-    # the other title may be longer: it looks up pieces of every shorter length it can pair with
-    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * ((1 - slack) / (1 + slack)) - 1e-9).cast("int")), F.col("n"))
-    right = (
-        sized.withColumn("na", F.explode(lengths)).withColumn("edits", most(F.col("na")))
-        .withColumn("p", F.explode(pieces(F.col("na"), F.col("edits"))))
-        .withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p.at") - F.col("edits")), F.col("p.at") + F.col("edits"))))
-        .where("at + p.size <= n")
-        .select(F.col("key").alias("b"), F.col("title_key").alias("tb"), F.col("n").alias("nb"), "na", F.col("p.i").alias("i"),
-                F.expr("substring(title_key, at + 1, p.size)").alias("piece")).distinct()
-    )
-    pairs = left.join(right, ["na", "i", "piece"]).where("na < nb or (na = nb and a < b)").select("a", "b", "ta", "tb").distinct()
-    return pairs.where(near("ta", "tb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+def _glob(c: Column, pattern: str) -> Column:
+    return c.rlike("^" + fnmatch.translate(pattern).replace("\\Z", "").replace("\\z", "") + "$")
+
+
+def _rule_of(i: Column, rules: list[tuple[str, str, str, str]]) -> Column:
+    """Index of the first rule that an issue matches, or null."""
+    out = F.lit(None).cast("int")
+    for nth, (key, field, kind, _) in reversed(list(enumerate(rules))):
+        out = F.when(_glob(F.col("key"), key) & _glob(i["field"], field) & _glob(i["kind"], kind), nth).otherwise(out)
+    return out
 
 
 def suppressed_by(results: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
-    """results with the issues that a rule (key, field, kind, reason) matches moved to suppressed.
+    """results with the issues that a rule (key, field, kind, reason) matches moved to suppressed, and used_rules.
 
     Patterns are case-sensitive shell globs; the first rule that matches an issue counts.
     The rules are a literal in the plan: no join, no regrouping.
     """
     if not rules:
-        return results
-    glob = lambda c, pattern: c.rlike("^" + fnmatch.translate(pattern).replace("\\Z", "").replace("\\z", "") + "$")
-
-    def reason(i: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for key, field, kind, why in reversed(rules):
-            out = F.when(glob(F.col("key"), key) & glob(i["field"], field) & glob(i["kind"], kind), why).otherwise(out)
-        return out
-
+        return results.withColumn("used_rules", F.array().cast("array<int>"))
+    ruled = results.withColumn("ruled", F.transform("issues", lambda i: F.struct(i.alias("issue"), _rule_of(i, rules).alias("rule"))))
+    reasons = F.array(*(F.lit(why) for *_, why in rules))
     moved = F.transform(
-        F.filter("issues", lambda i: reason(i).isNotNull()),
-        lambda i: i.withField("severity", F.lit("info")).withField("kind", F.concat(F.lit(SUPPRESSED), i["kind"]))
-        .withField("note", F.concat_ws(" — ", F.nullif(i["note"], F.lit("")), reason(i))),
+        F.filter("ruled", lambda r: r["rule"].isNotNull()),
+        lambda r: r["issue"].withField("severity", F.lit("info")).withField("kind", F.concat(F.lit(SUPPRESSED), r["issue"]["kind"]))
+        .withField("note", F.concat_ws(" — ", F.nullif(r["issue"]["note"], F.lit("")), F.get(reasons, r["rule"]))),
     )
-    out = results.withColumns({"suppressed": F.concat("suppressed", moved), "issues": F.filter("issues", lambda i: reason(i).isNull())})
-    again = F.when((F.col("verdict") == "UNCHECKED") & (F.size("issues") > 0), "UNCHECKED").otherwise(
-        F.when((F.col("verdict") == "RETRACTED"), "RETRACTED").otherwise(verdict(F.col("issues"), F.col("suppressed"), F.col("authors_ok")))
-    )
-    return out.withColumn("verdict", again)
-
-
-def unused_rules(rules: DataFrame, used: DataFrame) -> DataFrame:
-    """Rules (idx, ...) that no issue matched."""
-    return rules.join(used, "idx", "left_anti")
-
+    out = ruled.withColumns(
+        {
+            "suppressed": F.concat("suppressed", moved), "issues": F.transform(F.filter("ruled", lambda r: r["rule"].isNull()), lambda r: r["issue"]),
+            "used_rules": F.array_sort(F.array_distinct(F.array_compact(F.transform("ruled", lambda r: r["rule"])))),
+        }
+    )
+    # only a result that lost an issue is judged again; what was retracted, or another work, stays so
+    again = verdict(F.col("issues"), F.col("suppressed"), F.col("verdict") != "WRONG-WORK")
+    judged = F.when(F.size("used_rules") == 0, F.col("verdict")).when(F.col("verdict") == "RETRACTED", "RETRACTED").otherwise(again)
+    return out.withColumn("verdict", judged).drop("ruled")
 
-def candidate_union(sources: list[DataFrame]) -> DataFrame:
-    """Candidates (ref, doi, nth, ...) of all sources in order, a DOI once a reference; without DOI all stay."""
-    every = None
-    for rank, source in enumerate(sources):
-        part = source.withColumn("rank", F.lit(rank))
-        every = part if every is None else every.unionByName(part)
-    once = F.row_number().over(Window.partitionBy("ref", "doi").orderBy("rank", "nth"))
-    return every.where("doi is not null").withColumn("k", once).where("k = 1").drop("k").unionByName(every.where("doi is null"))
 
-
-def confirmed(pairs: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """The best candidate of each reference (ref, r_title, r_kind, r_year, c_title, c_kind, c_year, rank, nth, doi).
-
-    It has the title, a compatible kind and a year within one; the first of equal scores wins.
-    """
-    keyed = pairs.withColumns({"r_key": fold(F.col("r_title")), "c_key": fold(F.col("c_title"))})
-    # the ratio can't reach the limit where lengths differ too much
-    short, long = (f(F.length("r_key"), F.length("c_key")) for f in (F.least, F.greatest))
-    near = keyed.where((F.col("r_key") != "") & (2 * short >= limits.confirm * (short + long)))
-    scored = near.withColumn("score", similarity(F.col("r_title"), F.col("c_title"), F.col("r_key"), F.col("c_key")))
-    years = F.col("r_year").isNull() | F.col("c_year").isNull() | (F.abs(F.col("r_year") - F.col("c_year")) <= 1)
-    best = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("score"), "rank", "nth"))
-    return (
-        scored.where((F.col("score") >= limits.confirm) & compatible(F.col("r_kind"), F.col("c_kind")) & years)
-        .withColumn("k", best).where("k = 1").select("ref", "doi", "score")
-    )
+def unused_rules(results: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(idx, key, field, kind, reason): rules that moved no issue of results."""
+    table = results.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], "idx int, key string, field string, kind string, reason string")
+    used = results.select(F.explode("used_rules").alias("idx")).distinct()
+    return table.join(used, "idx", "left_anti")
 
 
 _KEY = r"(?<![\w@.])@([A-Za-z0-9_][\w:.#$%&+?<>~/-]*?)(?=[.,;:?!]*(?:[\s\])}]|$))"
@@ -176,7 +173,21 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return every
 
 
-def pivoted(facts: DataFrame, entity: str, name: str, value: str) -> DataFrame:
-    """(entity, map): attribute rows as one map; of several values of a name the greatest."""
-    one = facts.groupBy(entity, name).agg(F.max(value).alias(value))
+def pivoted(facts: DataFrame, entity: str, name: str, value: str, order: str | None = None) -> DataFrame:
+    """(entity, map): attribute rows as one map; of several values of a name the last by ``order``, else the greatest."""
+    last = F.max_by(value, F.struct(order, value)) if order else F.max(value)
+    one = facts.where(F.col(name).isNotNull()).groupBy(entity, name).agg(last.alias(value))
     return one.groupBy(entity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("attributes"))
+
+
+def ordered_rows(rows: DataFrame, key: str, order: str, fields: list[str], name: str) -> DataFrame:
+    """(key, name): the rows of each key as an array of structs in order."""
+    listed = F.array_sort(F.collect_list(F.struct(order, *fields)))
+    return rows.groupBy(key).agg(listed.alias("listed")).select(
+        key, F.transform("listed", lambda r: F.struct(*(r[f].alias(f) for f in fields))).alias(name)
+    )
+
+
+def counted(rows: DataFrame, value: Column, pos: str) -> DataFrame:
+    """(value, n, first_pos): how often each value occurs, most first, of equal counts the first seen."""
+    return rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.min(pos).alias("first_pos")).orderBy(F.desc("n"), "first_pos")

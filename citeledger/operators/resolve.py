@@ -9,79 +9,100 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citeledger.functions.identifiers import normalize_doi, normalize_isbn13, strongest_identifier
-from citeledger.schema import NOTICE_RANK
+from citeledger.schema import NOTICE_RANK, RECORD
 
 
 def routed(refs: DataFrame, search: bool = True) -> DataFrame:
     """refs with lookup key, identifier and route: doi, isbn, malformed-isbn, search or none."""
     doi, isbn = F.coalesce("doi", F.lit("")), F.coalesce("isbn", F.lit(""))
-    found = normalize_isbn13(F.col("isbn"))
+    keyed = refs.withColumns({"doi_key": F.nullif(normalize_doi(F.col("doi")), F.lit("")), "isbn_key": normalize_isbn13(F.col("isbn"))})
     route = (
-        F.when(doi != "", "doi").when((isbn != "") & found.isNotNull(), "isbn").when(isbn != "", "malformed-isbn")
+        F.when(doi != "", "doi").when((isbn != "") & F.col("isbn_key").isNotNull(), "isbn").when(isbn != "", "malformed-isbn")
         .otherwise("search" if search else "none")
     )
-    return refs.withColumns(
+    return keyed.withColumns(
         {
             "route": route,
-            "lookup": F.when(doi != "", F.nullif(normalize_doi(F.col("doi")), F.lit(""))).otherwise(found),
+            "lookup": F.when(doi != "", F.col("doi_key")).otherwise(F.col("isbn_key")),
             "identifier": strongest_identifier(F.col("doi"), F.col("pmid"), F.col("arxiv"), F.col("isbn")),
         }
-    )
+    ).drop("doi_key", "isbn_key")
+
+
+#: A record without its lookup key, as a struct type.
+RECORD_STRUCT = StructType.fromDDL(RECORD).simpleString()
 
 
 def record_of(registry: DataFrame) -> Column:
-    return F.struct(*(F.col(c) for c in registry.columns if c != "key"))
+    """The columns of a registry row as one record; those it lacks are null."""
+    fields = StructType.fromDDL(RECORD).fields
+    return F.struct(*((F.col(f.name) if f.name in registry.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def lookup_keys(refs: DataFrame, route: str) -> DataFrame:
+    """(key): the distinct keys of routed references of one route."""
+    return refs.where((F.col("route") == route) & F.col("lookup").isNotNull()).select(F.col("lookup").alias("key")).distinct()
+
+
+def with_roles(rows: DataFrame) -> DataFrame:
+    """rows with primary and corroborator taken from records.
+
+    The first or else the second registry leads, corroborated by the medical index; that leads
+    alone where neither has the work, and after it any other source, in order of names.
+    """
+    of = lambda name: F.get(F.filter("records", lambda r: r["source"] == name), F.lit(0))
+    main = F.coalesce(of("crossref"), of("datacite"))
+    least = F.get(F.array_sort(F.transform("records", lambda r: r["source"])), F.lit(0))
+    other = F.get(F.filter("records", lambda r: r["source"] == least), F.lit(0))
+    return rows.withColumns({"primary": F.coalesce(main, of("pubmed"), other), "corroborator": F.when(main.isNotNull(), of("pubmed"))})
 
 
-def resolve(refs: DataFrame, registries: dict[str, DataFrame], unreachable: list[str] = ()) -> DataFrame:
-    """Routed refs with primary, corroborator, records and asked.
+def resolve(refs: DataFrame, registries: dict[str, DataFrame], unreachable: list[str] = (), notices: bool = False) -> DataFrame:
+    """Routed refs with records, primary, corroborator and asked.
 
     The second registry is asked only for what the first lacks, and only where the first
-    answered; the medical index for every DOI; books for ISBNs.
+    answered; the medical index for every DOI; books for ISBNs.  ``notices``: notice tables are
+    asked too.  A registry that is unreachable, or not given, has no records.
     """
     up = {n: r for n, r in registries.items() if n not in unreachable}
-    keys = refs.where(F.col("lookup").isNotNull()).select("lookup", "route").distinct()
-    dois = keys.where("route = 'doi'").select(F.col("lookup").alias("key"))
-    isbns = keys.where("route = 'isbn'").select(F.col("lookup").alias("key"))
+    dois, isbns = lookup_keys(refs, "doi"), lookup_keys(refs, "isbn")
     found = []
     if "crossref" in up:
         found.append(dois.join(up["crossref"], "key"))
-        if "datacite" in up:
-            found.append(dois.join(up["crossref"].select("key"), "key", "left_anti").join(up["datacite"], "key"))
+    if "datacite" in up and "crossref" not in unreachable:
+        left = dois.join(up["crossref"].select("key"), "key", "left_anti") if "crossref" in up else dois
+        found.append(left.join(up["datacite"], "key"))
     if "pubmed" in up:
         found.append(dois.join(up["pubmed"], "key"))
     if "openlibrary" in up:
         found.append(isbns.join(up["openlibrary"], "key"))
     empty = F.array().cast("array<string>")
-    if not found:
-        return refs.withColumns({"asked": empty, "primary": F.lit(None), "corroborator": F.lit(None), "records": F.lit(None)})
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    by_key = every.groupBy("key").agg(F.collect_list(record_of(every)).alias("records"))
-    of = lambda name: F.get(F.filter("records", lambda r: r["source"] == name), F.lit(0))
-    main = F.coalesce(of("crossref"), of("datacite"))
+    none = F.array().cast(f"array<{RECORD_STRUCT}>")
+    if found:
+        every = found[0].select("key", record_of(found[0]).alias("record"))
+        for part in found[1:]:
+            every = every.unionByName(part.select("key", record_of(part).alias("record")))
+        # a handful of registries: a record of each at most
+        by_key = every.groupBy(F.col("key").alias("lookup")).agg(F.collect_list("record").alias("records"))
+        joined = refs.join(by_key, "lookup", "left").withColumn("records", F.coalesce("records", none))
+    else:
+        joined = refs.withColumn("records", none)
+    held = F.exists("records", lambda r: r["source"] == "crossref")
     asked = F.when(F.col("lookup").isNull(), empty).when(
         F.col("route") == "doi",
         F.array_compact(
             F.array(
                 F.lit("crossref"),
-                F.when(of("crossref").isNull() & F.lit("crossref" not in unreachable), "datacite"),
-                F.lit("pubmed"),
+                F.when(~held & F.lit("crossref" not in unreachable), "datacite"),
+                F.lit("pubmed" if "pubmed" in registries or notices else None),
+                F.lit("retraction-watch" if notices else None),
             )
         ),
-    ).when(F.col("route") == "isbn", F.array(F.lit("openlibrary"))).otherwise(empty)
-    return (
-        refs.join(by_key.withColumnRenamed("key", "lookup"), "lookup", "left")
-        .withColumn("records", F.coalesce("records", F.array().cast(by_key.schema["records"].dataType)))
-        .withColumns({
-            "asked": asked,
-            "primary": F.coalesce(main, of("pubmed"), F.get("records", F.lit(0))),
-            "corroborator": F.when(main.isNotNull(), of("pubmed")),
-        })
-    )
+    ).when((F.col("route") == "isbn") & F.lit("openlibrary" in registries), F.array(F.lit("openlibrary"))).otherwise(empty)
+    return with_roles(joined.withColumn("asked", asked))
 
 
 def bridged(dois: DataFrame, ids: DataFrame, records: DataFrame) -> DataFrame:
@@ -121,10 +142,31 @@ def merged_notices(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def with_notices(resolved: DataFrame, notices: DataFrame) -> DataFrame:
-    """Notices marked on the records of references that resolved; nothing is added for others."""
-    marked = F.transform(
-        "records", lambda r: F.when(F.col("n_kind").isNotNull(), r.withField("retracted", F.lit(True)).withField("retraction_kind", F.col("n_kind"))).otherwise(r)
+def with_notices(resolved: DataFrame, notices: DataFrame, key: str = "lookup") -> DataFrame:
+    """resolved with notices (doi, kind, source) in the records of references that have some.
+
+    A notice of the medical index marks its record, or adds a bare one; one of the notice table
+    adds a record of that source.  Keys without records gain none.
+    """
+    n = notices.select(F.col("doi").alias("n_doi"), F.col("kind").alias("n_kind"), F.split("source", ",").alias("n_sources"))
+    mark = lambda r: r.withField("retracted", F.lit(True)).withField("retraction_kind", F.col("n_kind"))
+    fields = StructType.fromDDL(RECORD).fields
+    given = {"doi": F.col("n_doi"), "identifier": F.col("n_doi"), "retracted": F.lit(True), "retraction_kind": F.col("n_kind")}
+    bare = lambda source: F.struct(
+        *((F.lit(source) if f.name == "source" else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields)
+    )
+    medical = F.array_contains("n_sources", "pubmed")
+    marked = F.transform("records", lambda r: F.when(medical & (r["source"] == "pubmed"), mark(r)).otherwise(r))
+    lacks = ~F.exists("records", lambda r: r["source"] == "pubmed")
+    more = F.array_compact(
+        F.array(F.when(medical & lacks, bare("pubmed")), F.when(F.array_contains("n_sources", "retraction-watch"), bare("retraction-watch")))
     )
-    n = notices.select(F.col("doi").alias("n_doi"), F.col("kind").alias("n_kind"))
-    return resolved.join(n, F.col("lookup") == F.col("n_doi"), "left").withColumn("records", marked).drop("n_doi", "n_kind")
+    hit = F.col("n_doi").isNotNull() & (F.size("records") > 0)
+    joined = resolved.join(n, F.col(key) == F.col("n_doi"), "left")
+    out = joined.withColumn("records", F.when(hit, F.concat(marked, more)).otherwise(F.col("records"))).drop("n_doi", "n_kind", "n_sources")
+    return with_roles(out)
+
+
+def wanted_notices(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a notice index (doi, ...) whose DOI is a wanted key."""
+    return index.join(keys.select(F.col("key").alias("doi")).distinct(), "doi", "left_semi")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeledger.functions.identifiers import is_article_number
-from citeledger.functions.text import fold
+from citeledger.functions.identifiers import article_number_of
 
 
 def shortened_title(stored_key: Column, registry_key: Column) -> Column:
@@ -14,19 +13,26 @@ def shortened_title(stored_key: Column, registry_key: Column) -> Column:
     return F.when(hit, "registry stores a shortened title")
 
 
-def doubled_token(registry: Column, stored_key: Column) -> Column:
-    once = F.regexp_replace(registry, r"(?i)(\b\w{1,4}\([a-z]\))\1", "$1")
-    return F.when((once != registry) & (fold(once) == stored_key), "registry title repeats an operator token")
+def once_only(registry: Column) -> Column:
+    """A title without the second of two equal operator tokens."""
+    return F.regexp_replace(registry, r"(?i)(\b\w{1,4}\([a-z]\))\1", "$1")
 
 
-def bracketed_parent(registry: Column, stored_key: Column) -> Column:
-    bare = F.regexp_replace(registry, r"^\[[^\]]{10,}\]\s*[:.]?\s*", "")
-    return F.when((bare != registry) & (fold(bare) == stored_key), "registry prefixes the parent article's title")
+def without_parent(registry: Column) -> Column:
+    return F.regexp_replace(registry, r"^\[[^\]]{10,}\]\s*[:.]?\s*", "")
 
 
-def online_first(stored_year: Column, years: Column) -> Column:
+def doubled_token(repaired_agrees: Column) -> Column:
+    return F.when(repaired_agrees, "registry title repeats an operator token")
+
+
+def bracketed_parent(repaired_agrees: Column) -> Column:
+    return F.when(repaired_agrees, "registry prefixes the parent article's title")
+
+
+def online_first(stored_year: Column, years: Column, registry_year: Column) -> Column:
     slot = F.get(F.filter(years, lambda y: y["year"] == stored_year), F.lit(0))["slot"]
-    return F.when(slot.isNotNull(), F.concat(F.lit("stored year is the record's "), slot, F.lit(" date")))
+    return F.when(slot.isNotNull(), F.concat(F.lit("cites the "), slot, F.lit(" date; registry prefers "), registry_year.cast("string")))
 
 
 def deposit_stamp(stored_year: Column, registry_year: Column, years: Column) -> Column:
@@ -35,7 +41,8 @@ def deposit_stamp(stored_year: Column, registry_year: Column, years: Column) ->
 
 
 def article_number(stored: Column, registry: Column) -> Column:
-    return F.when(is_article_number(stored) != is_article_number(registry), "one side gives an article number")
+    """Of display texts, neither empty."""
+    return F.when(article_number_of(stored) != article_number_of(registry), "one side gives an article number")
 
 
 def abbreviated_container(stored_key: Column, registry_key: Column, short_key: Column) -> Column:

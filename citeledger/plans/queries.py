@@ -9,10 +9,10 @@ from citeledger.functions import identifiers as ids
 from citeledger.functions.names import people
 from citeledger.functions.text import fold
 from citeledger.operators import relations as rel
-from citeledger.operators.compare import consulted
+from citeledger.operators.compare import consultations
 from citeledger.operators.resolve import latest_notices, merged_notices, resolve, routed
 from citeledger.plans import derived
-from citeledger.plans.audit import audit
+from citeledger.plans.audit import AuditOptions, Registries, audit
 from citeledger.scratch import load
 
 Spark = SparkSession
@@ -52,7 +52,8 @@ def _registries(spark: Spark, d: str) -> dict[str, DataFrame]:
 def resolution(spark: Spark, d: str) -> DataFrame:
     found = resolve(routed(derived.stored(spark, d)), _registries(spark, d))
     present = F.transform("records", lambda r: r["source"])
-    states = {n: consulted(F.lit(n), present, F.col("asked"), []) for n in ("crossref", "datacite", "pubmed")}
+    found = found.withColumn("consulted", consultations(present, F.col("asked"), F.array().cast("array<string>")))
+    states = {n: F.col("consulted")[n] for n in ("crossref", "datacite", "pubmed")}
     return found.select(
         "pos", "route", "lookup", F.coalesce("primary.source", F.lit("")).alias("main"), F.coalesce("corroborator.source", F.lit("")).alias("second"),
         *(c.alias(n) for n, c in states.items()),
@@ -60,7 +61,7 @@ def resolution(spark: Spark, d: str) -> DataFrame:
 
 
 def _audited(spark: Spark, d: str) -> DataFrame:
-    return audit(derived.stored(spark, d), _registries(spark, d))
+    return audit(derived.stored(spark, d), Registries(_registries(spark, d)))
 
 
 def issues(spark: Spark, d: str) -> DataFrame:
@@ -85,7 +86,7 @@ RULES = [("part1*", "container", "*", "spelt so by the publisher"), ("*", "year"
 
 
 def suppression(spark: Spark, d: str) -> DataFrame:
-    out = audit(derived.stored(spark, d), _registries(spark, d), rules=RULES)
+    out = audit(derived.stored(spark, d), Registries(_registries(spark, d)), AuditOptions(rules=tuple(RULES)))
     return out.select("pos", "verdict", F.size("issues").cast("long").alias("left"), F.array_join(F.transform("suppressed", lambda i: i["kind"]), " ").alias("moved"))
 
 
