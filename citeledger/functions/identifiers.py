@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citeledger.functions.text import clean, fold, let
+from citeledger.functions.text import clean, clean_text, fold, let
 from citeledger.schema import KINDS
 
 DOI = r"(?i)10\.\d{4,9}/[^\s\"<>]+"
@@ -19,7 +21,7 @@ def _without_surplus(bare: Column) -> Column:
     return F.lower(F.substring(bare, F.lit(1), F.length(bare) - cut))
 
 
-def _doi_of(text: Column) -> Column:
+def doi_of(text: Column) -> Column:
     """normalize_doi of text that is clean."""
     bare = F.regexp_replace(F.trim(text), r"(?i)^[(\[{<\"']*(https?://(dx\.)?doi\.org/|doi:\s*)?", "")
     return let(F.regexp_replace(F.trim(bare), r"[.,;:'\"\]}>]+$", ""), _without_surplus)
@@ -27,12 +29,21 @@ def _doi_of(text: Column) -> Column:
 
 def normalize_doi(value: Column) -> Column:
     """Lower-case DOI without resolver, wrapping and unbalanced brackets; '' for none."""
-    return _doi_of(clean(value))
+    return doi_of(clean(value))
+
+
+def doi_text(value: str | None) -> str:
+    """normalize_doi of one Python string, for parsers."""
+    bare = re.sub(r"(?i)^[(\[{<\"']*(https?://(dx\.)?doi\.org/|doi:\s*)?", "", clean_text(value)).strip()
+    bare = re.sub(r"[.,;:'\"\]}>]+$", "", bare)
+    closing = len(bare) - len(bare.rstrip(")"))
+    cut = max(0, min(closing, bare.count(")") - bare.count("(")))
+    return bare[: len(bare) - cut].lower()
 
 
 def extract_dois(text: Column) -> Column:
     """The distinct DOIs of a text in order."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOI), F.lit(0)), _doi_of)
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOI), F.lit(0)), doi_of)
     return F.array_distinct(F.filter(found, lambda d: d != ""))
 
 

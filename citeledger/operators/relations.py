@@ -145,14 +145,15 @@ def unused_rules(results: DataFrame, rules: list[tuple[str, str, str, str]]) ->
     return table.join(used, "idx", "left_anti")
 
 
-_KEY = r"(?<![\w@.])@([A-Za-z0-9_][\w:.#$%&+?<>~/-]*?)(?=[.,;:?!]*(?:[\s\])}]|$))"
-_CROSS = "fig- tbl- eq- sec- lst- thm- lem- cor- prp- cnj- def- exm- exr-".split()
+#: A key begins a text or line or follows a blank, a bracket, a comma, a semicolon or a minus.
+KEY = r"(?m)(?<![^\s\[{;,(-])@([A-Za-z]\w*(?:[-:.#$%&+?<>~/]+\w+)*)"
+CROSS_REFERENCES = "fig tbl sec eq lst thm def exm exr cor lem prp cnj".split()
 
 
 def citekeys(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with one row for each citation key (@key); cross-references are none."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_KEY), F.lit(1))
-    plain = F.filter(found, lambda k: ~k.rlike("^(" + "|".join(_CROSS) + ")"))
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(KEY), F.lit(1))
+    plain = F.filter(found, lambda k: ~k.rlike("^(" + "|".join(CROSS_REFERENCES) + ")-"))
     return texts.withColumn("citekey", F.explode(plain))
 
 

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from citeledger.functions.identifiers import normalize_doi, normalize_isbn13, strongest_identifier
-from citeledger.schema import NOTICE_RANK, RECORD
+from citeledger.schema import NOTICE_RANK, RECORD_FIELDS, RECORD_STRUCT
 
 
 def routed(refs: DataFrame, search: bool = True) -> DataFrame:
@@ -32,14 +31,9 @@ def routed(refs: DataFrame, search: bool = True) -> DataFrame:
     ).drop("doi_key", "isbn_key")
 
 
-#: A record without its lookup key, as a struct type.
-RECORD_STRUCT = StructType.fromDDL(RECORD).simpleString()
-
-
 def record_of(registry: DataFrame) -> Column:
     """The columns of a registry row as one record; those it lacks are null."""
-    fields = StructType.fromDDL(RECORD).fields
-    return F.struct(*((F.col(f.name) if f.name in registry.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    return F.struct(*((F.col(n) if n in registry.columns else F.lit(None)).cast(kind).alias(n) for n, kind in RECORD_FIELDS))
 
 
 def lookup_keys(refs: DataFrame, route: str) -> DataFrame:
@@ -150,10 +144,9 @@ def with_notices(resolved: DataFrame, notices: DataFrame, key: str = "lookup") -
     """
     n = notices.select(F.col("doi").alias("n_doi"), F.col("kind").alias("n_kind"), F.split("source", ",").alias("n_sources"))
     mark = lambda r: r.withField("retracted", F.lit(True)).withField("retraction_kind", F.col("n_kind"))
-    fields = StructType.fromDDL(RECORD).fields
     given = {"doi": F.col("n_doi"), "identifier": F.col("n_doi"), "retracted": F.lit(True), "retraction_kind": F.col("n_kind")}
     bare = lambda source: F.struct(
-        *((F.lit(source) if f.name == "source" else given.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields)
+        *((F.lit(source) if n == "source" else given.get(n, F.lit(None))).cast(kind).alias(n) for n, kind in RECORD_FIELDS)
     )
     medical = F.array_contains("n_sources", "pubmed")
     marked = F.transform("records", lambda r: F.when(medical & (r["source"] == "pubmed"), mark(r)).otherwise(r))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from citeledger.functions.identifiers import normalize_kind
 from citeledger.operators.compare import Thresholds, compared, issue, verdict
 from citeledger.operators.relations import suppressed_by
-from citeledger.operators.resolve import RECORD_STRUCT, resolve, routed, with_notices, with_roles
+from citeledger.operators.resolve import resolve, routed, with_notices, with_roles
 from citeledger.operators.search import confirmed
-from citeledger.schema import ISSUE
+from citeledger.schema import ISSUE, RECORD_STRUCT
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,9 @@ RECORD = (
     "container_alternates array<string>, volume string, issue string, pages string, publisher string, kind string, "
     "retracted boolean, retraction_kind string"
 )
+#: (name, type) of a record's columns, and a record as one struct
+RECORD_FIELDS = [tuple(f.split(" ", 1)) for f in RECORD.replace(", ", "\n").split("\n")]
+RECORD_STRUCT = f"struct<{','.join(f'{name}:{kind}' for name, kind in RECORD_FIELDS)}>"
 ISSUE = "struct<field:string,kind:string,severity:string,stored:string,registry:string,source:string,note:string>"
 
 REGISTRIES = ["crossref", "datacite", "pubmed"]
