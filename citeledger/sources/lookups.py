@@ -20,6 +20,7 @@ from citeledger.operators.search import candidate_union, search_terms
 from citeledger.scratch import keep
 from citeledger.sources import registries as reg
 from citeledger.sources.http import Answers, Client, Transient
+from citeledger.sources.registries import medline_fields
 
 #: asks for a batch of keys: payloads by key; a key that is left out is not there
 Ask = Callable[[Client, list[str]], dict[str, str]]
@@ -35,8 +36,12 @@ _SELECT = ",".join(
 EUTILS_PAUSE, ROWS = 1 / 3, 5
 
 
-def looked_up(keys: DataFrame, source: str, ask: Ask, size: int, client: Client, answers: Answers | None = None, offline: bool = False, refresh: bool = False) -> DataFrame:
-    """(key, payload, failed) of every key (key): payload null where the registry has nothing."""
+def looked_up(keys: DataFrame, source: str, ask: str, size: int, client: Client, answers: Answers | None = None, offline: bool = False, refresh: bool = False) -> DataFrame:
+    """(key, payload, failed) of every key (key): payload null where the registry has nothing.
+
+    ``ask``: name of a function of ``ASK``.
+    """
+    asker = ASK[ask]
     keys = keys.select("key").where("key is not null").distinct()
     known = answers.known(source, keys) if answers and (offline or not refresh) else None
     asked = keys.join(known.select("key"), "key", "left_anti") if known is not None else keys
@@ -47,13 +52,13 @@ def looked_up(keys: DataFrame, source: str, ask: Ask, size: int, client: Client,
             batch = every[begin : begin + size]
             failed: set[str] = set()
             try:
-                found = ask(client, batch)
+                found = asker(client, batch)
             except Transient:
                 found = {}
                 # a batch that fails may hold one bad key
                 for key in batch if size > 1 else []:
                     try:
-                        found |= ask(client, [key])
+                        found |= asker(client, [key])
                     except Transient:
                         failed.add(key)
                 failed |= set(batch) if size == 1 else set()
@@ -117,48 +122,62 @@ def _pmids(client: Client, dois: list[str]) -> dict[str, str]:
 
 def _medline(client: Client, pmids: list[str]) -> dict[str, str]:
     text = _eutils(client, "efetch", id=",".join(pmids), rettype="medline", retmode="text") or ""
-    blocks = {(f.get("PMID") or [""])[0]: "\n".join(f"{t.ljust(4)}- {v}" for t, vs in f.items() for v in vs) for f in reg.medline_fields(text)}
+    blocks = {(f.get("PMID") or [""])[0]: "\n".join(f"{t.ljust(4)}- {v}" for t, vs in f.items() for v in vs) for f in medline_fields(text)}
     return {p: blocks[p] for p in pmids if p in blocks}
 
 
+def _export(client: Client, keys: list[str]) -> dict[str, str]:
+    text = client.text(NOTICES)
+    return {} if text is None else {keys[0]: text}
+
+
+def _pages(client: Client, urls: list[str]) -> dict[str, str]:
+    return {u: t for u in urls if (t := client.text(u)) is not None}
+
+
+ASK: dict[str, Ask] = {
+    "crossref": _crossref, "datacite": _datacite, "openlibrary": _books, "pmid": _pmids, "medline": _medline, "notices": _export, "pages": _pages,
+}
+
+
 class Lookups:
     """The registries' tables for an audit, asked through one client and one table of answers."""
 
     def __init__(self, client: Client, answers: Answers | None = None, offline: bool = False, refresh: bool = False):
         self.client, self.answers, self.offline, self.refresh = client, answers, offline, refresh
 
-    def _ask(self, keys: DataFrame, source: str, ask: Ask, size: int) -> DataFrame:
-        return looked_up(keys, source, ask, size, self.client, self.answers, self.offline, self.refresh)
+    def _ask(self, keys: DataFrame, source: str, size: int, ask: str | None = None) -> DataFrame:
+        return looked_up(keys, source, ask or source, size, self.client, self.answers, self.offline, self.refresh)
 
     def crossref(self, dois: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(records, keys that failed) of DOIs (key)."""
-        found = self._ask(dois, "crossref", _crossref, 20)
+        found = self._ask(dois, "crossref", 20)
         return reg.crossref_records(found.where("payload is not null").select("key", "payload")), found.where("failed").select("key")
 
     def datacite(self, dois: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = self._ask(dois, "datacite", _datacite, 1)
+        found = self._ask(dois, "datacite", 1)
         return reg.datacite_records(found.where("payload is not null").select("key", "payload")), found.where("failed").select("key")
 
     def pmids(self, dois: DataFrame) -> tuple[DataFrame, DataFrame]:
         """((key, pmid), keys that failed): the bridge from DOIs to the medical index."""
-        found = self._ask(dois, "pmid", _pmids, 20)
+        found = self._ask(dois, "pmid", 20)
         return found.where("payload is not null").select("key", F.col("payload").alias("pmid")), found.where("failed").select("key")
 
     def pubmed(self, dois: DataFrame) -> tuple[DataFrame, DataFrame]:
         ids, failed = self.pmids(dois)
-        found = self._ask(ids.select(F.col("pmid").alias("key")), "medline", _medline, 50)
+        found = self._ask(ids.select(F.col("pmid").alias("key")), "medline", 50)
         fields = reg.medline_rows(found.where("payload is not null").select(F.col("payload").alias("text")))
         lost = bridged(dois, ids, found.where("failed").select(F.col("key").alias("pmid"))).select("key")
         return reg.medical_records(bridged(dois, ids, fields).select("key", "fields")), failed.unionByName(lost)
 
     def books(self, isbns: DataFrame) -> tuple[DataFrame, DataFrame]:
-        found = self._ask(isbns, "openlibrary", _books, 50)
+        found = self._ask(isbns, "openlibrary", 50)
         return reg.book_records(found.where("payload is not null").select("key", "payload")), found.where("failed").select("key")
 
     def notice_export(self) -> str | None:
         """The notice export's text; None where there is none."""
         spark = self.answers.spark
-        found = self._ask(spark.createDataFrame([("export",)], "key string"), "notices", lambda client, _: {"export": client.text(NOTICES)} , 1).first()
+        found = self._ask(spark.createDataFrame([("export",)], "key string"), "notices", 1).first()
         if found is None or found["failed"]:
             raise Transient("the notice export could not be fetched")
         return found["payload"]
@@ -189,7 +208,7 @@ class Lookups:
 
     def _hits(self, terms: DataFrame, source: str, has: Column, url: Column, path: str, records: Callable[[DataFrame], DataFrame]) -> DataFrame:
         asked = terms.where(has != "").select("ref", url.alias("key"))
-        found = self._ask(asked, f"search-{source}", lambda client, urls: {u: t for u in urls if (t := client.text(u)) is not None}, 1)
+        found = self._ask(asked, f"search-{source}", 1, "pages")
         answers = asked.join(found, "key")
         listed = F.from_json(F.get_json_object("payload", f"$.{path}"), "array<string>")
         hits = answers.where("payload is not null").select("ref", "key", F.posexplode(listed).alias("nth", "payload")).where(F.col("nth") < ROWS)

@@ -284,7 +284,7 @@ TI  - [Ein Titel].
 AU  - van der Berg JK
 AU  - Consortium of All
 DP  - no year
-ECI - Lancet. 2012;1:2. doi: 10.5/concern. PMID 3
+ECI - Lancet. 2012;1:2. doi: 10.5555/concern. PMID 3
 """
 
 
@@ -296,7 +296,7 @@ def test_medical_records(spark):
     assert [(n.family, n.collective) for n in a.authors] == [("Smith", False), ("", True)] and a.container_short == "J Things"
     assert b.title == "Ein Titel" and [(n.family, n.given) for n in b.authors][0] == ("van der Berg", "JK") and b.authors[1].collective and b.years == []
     found = {r.doi: (r.kind, r.notice_doi, r.date) for r in notices.medical_notices(registries.medical_records(rows.select("key", "fields"))).collect()}
-    assert found == {"10.1/1": ("retraction", None, "2010"), "10.1/2": ("expression-of-concern", "10.5/concern", "2012")}
+    assert found == {"10.1/1": ("retraction", None, "2010"), "10.1/2": ("expression-of-concern", "10.5555/concern", "2012")}
 
 
 def test_books_and_discovery(spark):
