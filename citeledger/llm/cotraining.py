@@ -82,8 +82,36 @@ def _stems(s) -> tuple[np.ndarray, np.ndarray]:
     return mix(stem + np.uint64(1)), long_enough
 
 
-def _features(hasher: WordHasher, texts, langs, sources, sizes) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """(rows, text ids of each row, metadata ids (rows, 6)) of consecutive slices."""
+@dataclass
+class Ids:
+    """Lists of ids, one a row, end to end."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array | pa.ChunkedArray) -> Ids:
+        """The lists that a binary column holds as packed 32-bit integers; no row is copied on its own."""
+        parts = [x for x in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(x)]
+        if not parts:
+            return cls(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        flat, sizes = [], []
+        for part in parts:
+            ends = np.frombuffer(part.buffers()[1], np.int64 if pa.types.is_large_binary(part.type) else np.int32)[part.offset :][: len(part) + 1]
+            if ends[-1] > ends[0]:
+                flat.append(np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32))
+            sizes.append(np.diff(ends).astype(np.int64) // 4)
+        return cls(np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.concatenate(sizes))
+
+    def packed(self) -> pa.Array:
+        """The binary column that ``of`` reads."""
+        ends = np.zeros(len(self.sizes) + 1, np.int32)
+        np.cumsum(self.sizes * 4, out=ends[1:])
+        return pa.Array.from_buffers(pa.binary(), len(self.sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.flat, np.uint32))])
+
+
+def _features(hasher: WordHasher, texts, langs, sources, sizes) -> Iterator[tuple[np.ndarray, Ids, Ids]]:
+    """(rows, text ids, metadata ids) of consecutive slices."""
     for s in hasher.slices(texts):
         n = len(s.rows)
         own = s.owner()
@@ -120,20 +148,24 @@ def _features(hasher: WordHasher, texts, langs, sources, sizes) -> Iterator[tupl
         )
         styles += (1 << WORD_BITS) + 64 * np.arange(8)
         key = np.unique(np.concatenate([key, stem_key]))
-        split = np.split(key & ((1 << WORD_BITS) - 1), np.cumsum(np.bincount(key >> WORD_BITS, minlength=n))[:-1])
-        text_ids = [np.concatenate([a, b]).astype(np.uint32) for a, b in zip(split, styles, strict=True)]
+        # each row's words, then its eight styles
+        held = np.bincount(key >> WORD_BITS, minlength=n)
+        flat = np.empty(len(key) + 8 * n, np.uint32)
+        place = np.arange(len(key)) + 8 * (key >> WORD_BITS)
+        flat[place] = key & ((1 << WORD_BITS) - 1)
+        flat[(np.cumsum(held) + 8 * np.arange(n))[:, None] + np.arange(8)] = styles
         given = [sizes[i] for i in s.rows]
         meta = np.stack(
             [
                 _hashed([langs[i] for i in s.rows], 1), _hashed([sources[i] for i in s.rows], 2),
                 _hashed([(langs[i], sources[i]) for i in s.rows], 3),
-                _hashed([None if g is None else int(np.log2(max(0, g) + 1) * 2) for g in given], 4),
+                _hashed([None if g is None or not np.isfinite(g) else int(np.log2(max(0, g) + 1) * 2) for g in given], 4),
                 _hashed(np.log2(lines).round().astype(int).tolist(), 5),
                 _hashed(np.log2(np.maximum(1, chars / lines)).round().astype(int).tolist(), 6),
             ],
             axis=1,
         )
-        yield s.rows, text_ids, meta
+        yield s.rows, Ids(flat, held + 8), Ids(meta.astype(np.uint32).ravel(), np.full(n, meta.shape[1]))
 
 
 @dataclass
@@ -145,34 +177,30 @@ class View:
     scale: float = 1.0
     shift: float = 0.0
 
-    def logits(self, ids: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(x) for x in ids])
-        if not len(sizes):
-            return np.zeros(0)
-        flat = self.weights[np.concatenate(ids)]
-        sums = np.concatenate([[0.0], np.cumsum(flat, dtype=np.float64)])
-        ends = np.cumsum(sizes)
-        return sums[ends] - sums[ends - sizes] + self.bias
+    def logits(self, ids: Ids) -> np.ndarray:
+        sums = np.zeros(len(ids.flat) + 1)
+        np.cumsum(self.weights[ids.flat], dtype=np.float64, out=sums[1:])
+        ends = np.cumsum(ids.sizes)
+        return sums[ends] - sums[ends - ids.sizes] + self.bias
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_view(ids: list[np.ndarray], good: np.ndarray, size: int, least_rows: int, start: View | None = None) -> View:
+def fit_view(ids: Ids, good: np.ndarray, size: int, least_rows: int, start: View | None = None) -> View:
     """Full-batch Adam on the log-loss with an L2 penalty; ids that fewer than ``least_rows`` rows hold get no weight.
 
     Entries are held twice, by row and by id, so that both sums run over whole 32-bit arrays.
     """
-    sizes = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.int32)
-    own = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    n, y = len(ids.sizes), good.astype(np.float32)
+    flat = ids.flat.view(np.int32)
+    own = np.repeat(np.arange(n, dtype=np.int32), ids.sizes)
     used = np.flatnonzero(np.bincount(flat, minlength=size) >= least_rows)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     on = place[flat] >= 0
     flat, own = place[flat[on]], own[on]
-    n, y = len(ids), good.astype(np.float32)
     # the bias is an id that every row holds, so no row and no id is without an entry
     flat = np.append(flat, np.full(n, len(used), np.int32))
     own = np.append(own, np.arange(n, dtype=np.int32))
@@ -220,13 +248,13 @@ class Model:
     meta: View | None
     prior: float
 
-    def scores(self, text_ids: list[np.ndarray], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, words: Ids, meta: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) by the text view, the metadata view, and both."""
         if self.text is None:
-            flat = np.full(len(text_ids), _sigmoid(np.array([self.prior]))[0])
+            flat = np.full(len(words.sizes), _sigmoid(np.array([self.prior]))[0])
             return flat, flat, flat
-        a = self.text.logits(text_ids) * self.text.scale + self.text.shift
-        b = self.meta.logits(list(meta)) * self.meta.scale + self.meta.shift
+        a = self.text.logits(words) * self.text.scale + self.text.shift
+        b = self.meta.logits(meta) * self.meta.scale + self.meta.shift
         return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
 
 
@@ -253,13 +281,12 @@ def features(docs: DataFrame, carried: bool = False) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             columns = [batch.column(width + i).to_pylist() for i in range(4)]
-            for rows, text_ids, meta in _features(hasher, *columns):
+            for rows, words, meta in _features(hasher, *columns):
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).take(at) for i in range(width)),
-                        pa.array([x.tobytes() for x in text_ids], pa.binary()),
-                        pa.array([x.astype(np.uint32).tobytes() for x in meta], pa.binary()),
+                        words.packed(), meta.packed(),
                     ],
                     names=names,
                 )
@@ -268,11 +295,7 @@ def features(docs: DataFrame, carried: bool = False) -> DataFrame:
     return docs.select(*own, *_inputs(docs)).mapInArrow(compute, kinds)
 
 
-def _unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
-
-
-def _sure(view: View, ids: list[np.ndarray], good: bool) -> np.ndarray:
+def _sure(view: View, ids: Ids, good: bool) -> np.ndarray:
     """How sure a view is of a class, in sixteenths of log-odds."""
     z = view.logits(ids)
     return np.floor(np.clip(z if good else -z, -40, 40) * 16).astype(np.int32)
@@ -286,7 +309,7 @@ def _tally(text: View, meta: View, least: int):
         rows = 0
         for batch in batches:
             rows += batch.num_rows
-            ids = [_unpack(batch.column(1)), _unpack(batch.column(2))]
+            ids = [Ids.of(batch.column(1)), Ids.of(batch.column(2))]
             for slot in range(4):
                 bins = _sure((text, meta)[slot // 2], ids[slot // 2], slot % 2 == 1)
                 found[slot] += np.bincount(bins[bins >= least], minlength=641)
@@ -306,7 +329,7 @@ def _choose(text: View, meta: View, cuts: list[tuple[int, float]]):
         for batch in batches:
             docs = batch.column(0).to_numpy()
             part = mix(docs.astype(np.uint64)).astype(np.float64) / 2.0**64
-            ids = [_unpack(batch.column(1)), _unpack(batch.column(2))]
+            ids = [Ids.of(batch.column(1)), Ids.of(batch.column(2))]
             for slot, (cut, share) in enumerate(cuts):
                 view = slot // 2
                 bins = _sure((text, meta)[view], ids[view], slot % 2 == 1)
@@ -339,7 +362,7 @@ def _fitted(examples: DataFrame, shards: list[int], least_rows: int, start: list
         view, shard = group["view"][0].as_py(), group["shard"][0].as_py()
         group = group.sort_by("doc_id")
         good = group["good"].to_numpy().astype(bool)
-        model = fit_view(_unpack(group["ids"]), good, _SIZES[view], least_rows, start[view] if start else None)
+        model = fit_view(Ids.of(group["ids"]), good, _SIZES[view], least_rows, start[view] if start else None)
         parts = [model.weights[i : i + block] for i in range(0, _SIZES[view], block)]
         held = [i for i, x in enumerate(parts) if x.any()]
         return pa.table(
@@ -455,7 +478,7 @@ def train(
 def _logits(labelled: DataFrame, views: list[View]) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = views[0].logits(_unpack(batch.column(1))), views[1].logits(_unpack(batch.column(2)))
+            a, b = views[0].logits(Ids.of(batch.column(1))), views[1].logits(Ids.of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b)], names=["good", "text", "meta"])
 
     rows = labelled.orderBy("doc_id").select("good", "words", "meta")
@@ -469,7 +492,7 @@ def scored(table: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b, both = held.value.scores(_unpack(batch.column(1)), _unpack(batch.column(2)))
+                a, b, both = held.value.scores(Ids.of(batch.column(1)), Ids.of(batch.column(2)))
                 good = both >= threshold if held.value.text is not None else np.ones(len(both), bool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(good)],
@@ -494,7 +517,7 @@ def without_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRE
         for batch in batches:
             part = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
             if held.value.text is not None:
-                both = held.value.scores(_unpack(batch.column(width)), _unpack(batch.column(width + 1)))[2]
+                both = held.value.scores(Ids.of(batch.column(width)), Ids.of(batch.column(width + 1)))[2]
                 part = part.filter(pa.array(both >= threshold))
             yield part
 

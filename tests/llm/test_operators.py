@@ -73,6 +73,45 @@ def test_classifier_on_held_out_rows(spark):
     assert cotraining.without_rejected(docs(spark, []), table).count() == 0
 
 
+def test_views_teach_each_other(spark):
+    """Words that no label shows are learnt from documents that the metadata view is sure of."""
+    rng = random.Random(17)
+    rows, labels, unseen = [], [], []
+    for i in range(1500):
+        bad, labelled, held_out = rng.random() < 0.4, i < 500, i >= 1200
+        by_text = labelled and i % 2 == 0
+        cue = " filth" * (bad and by_text) + " grime soot" * (bad and not labelled)
+        source = "spam" if bad and not by_text and not held_out else rng.choice("ab")
+        rows.append((i, words(40, 60, rng) + cue, "en", source, 200))
+        if labelled:
+            labels.append((i, 1, int(bad)))
+        elif held_out:
+            unseen.append((i, bad))
+    frame = spark.createDataFrame(rows, DOCS)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    f = cotraining.features(frame).cache()
+
+    def accuracy(rounds):
+        keep = {r.doc_id: r.keep for r in cotraining.scored(f, cotraining.train(f, table, rounds=rounds, exchange=0.05, shard_rows=100)).collect()}
+        return np.mean([keep[i] != bad for i, bad in unseen])
+
+    without, with_rounds = accuracy(0), accuracy(3)
+    assert with_rounds > 0.95 and with_rounds > without + 0.2, (without, with_rounds)
+
+
+def test_equal_tables_give_equal_models(spark):
+    rng = random.Random(23)
+    rows = [(i % 80, words(30, 50, rng) + " filth" * (i % 80 % 3 == 0), "en", "s", 9) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    frames = [spark.createDataFrame(r, DOCS).withColumns({"words": F.lit(1), "__text": F.lit("x"), "META": F.lit(2)}) for r in (rows, rows[::-1])]
+    models = [cotraining.train(cotraining.features(f), labels) for f in frames]
+    assert np.array_equal(models[0].text.weights, models[1].text.weights) and models[0].meta.scale == models[1].meta.scale
+    kept = [sorted(map(tuple, cotraining.without_rejected(f, labels).collect()), key=str) for f in frames]
+    assert kept[0] == kept[1] and cotraining.without_rejected(frames[0], labels).columns == frames[0].columns
+    long = spark.createDataFrame([(1, "word " * 300_000, None, None, None), (2, None, "en", "s", None)], DOCS)
+    assert cotraining.without_rejected(long, labels).count() == 2  # no labelled document: nothing is rejected
+
+
 def test_divergence_equals_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["the", "of", "and", f"r{rng.randrange(500)}"]) for _ in range(80))) for i in range(40)]
