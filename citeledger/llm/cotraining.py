@@ -4,10 +4,10 @@ The text view sees hashed distinct words and word beginnings and what its charac
 repetitions look like; the metadata view sees source, language, length and line layout.
 Both are logistic regressions.  They start from a bounded sample of the labelled rows
 (``max_labelled``, in the order of a hash of doc_id).  In round r every document is scored by
-both, and each view hands the other the documents of which it is surest: of each class r times
-the share ``exchange`` of all documents, if it is ``confident`` of as many (where more are
-equally sure than fit, a share of those by a hash of doc_id).  Labelled documents are never
-handed over.  What is handed over grows with the corpus, so it is fitted in shards of about
+both, and each view hands the other documents of whose class it is ``confident``: of each class
+as many as r times the share ``exchange`` of all documents, chosen by a hash of doc_id among all
+that it is sure of, if it is sure of as many.  (The surest alone are too alike: one source can
+fill them.)  Labelled documents are never handed over.  What is handed over grows with the corpus, so it is fitted in shards of about
 ``shard_rows``, each with the labelled sample in one task, and a view is the mean of its shards.
 Ids that fewer than ``least_rows`` rows of a shard hold get no weight there.
 
@@ -42,7 +42,7 @@ from citeledger.llm.words import WordHasher, fresh, mix
 from citeledger.scratch import drop, keep, load
 
 WORD_BITS, META_BITS = 20, 12
-MAX_LABELLED, ROUNDS, EXCHANGE, CONFIDENT, THRESHOLD = 20_000, 3, 0.005, 0.97, 0.5
+MAX_LABELLED, ROUNDS, EXCHANGE, CONFIDENT, THRESHOLD = 20_000, 3, 0.01, 0.99, 0.5
 SHARD_ROWS, LEAST_ROWS, STEPS = 5_000, 3, 150
 _STYLES = 64 * 8
 _SIZES = [(1 << WORD_BITS) + _STYLES, 1 << META_BITS]
@@ -295,65 +295,46 @@ def features(docs: DataFrame, carried: bool = False) -> DataFrame:
     return docs.select(*own, *_inputs(docs)).mapInArrow(compute, kinds)
 
 
-def _sure(view: View, ids: Ids, good: bool) -> np.ndarray:
-    """How sure a view is of a class, in sixteenths of log-odds."""
-    z = view.logits(ids)
-    return np.floor(np.clip(z if good else -z, -40, 40) * 16).astype(np.int32)
+def _sure(views: list[View], ids: list[Ids], slot: int, confident: float) -> np.ndarray:
+    """Which rows a view is sure of; slot 2 * view + class."""
+    z = views[slot // 2].logits(ids[slot // 2])
+    return (z if slot % 2 else -z) >= np.log(confident / (1 - confident))
 
 
-def _tally(text: View, meta: View, least: int):
-    """(slot, bin, n): how many rows are that sure; slot 2 * view + class, at -1 all rows."""
+def _tally(views: list[View], confident: float):
+    """(slot, n): how many rows each view is sure of by class; at -1 all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((4, 641), np.int64)
-        rows = 0
+        found = np.zeros(5, np.int64)
         for batch in batches:
-            rows += batch.num_rows
             ids = [Ids.of(batch.column(1)), Ids.of(batch.column(2))]
-            for slot in range(4):
-                bins = _sure((text, meta)[slot // 2], ids[slot // 2], slot % 2 == 1)
-                found[slot] += np.bincount(bins[bins >= least], minlength=641)
-        at = np.argwhere(found)
-        slots, bins = np.append(at[:, 0], -1), np.append(at[:, 1], 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slots, pa.int32()), pa.array(bins, pa.int32()), pa.array(np.append(found[at[:, 0], at[:, 1]], rows))], names=["slot", "bin", "n"]
-        )
+            found[:4] += [_sure(views, ids, slot, confident).sum() for slot in range(4)]
+            found[4] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3, -1], pa.int32()), pa.array(found)], names=["slot", "n"])
 
     return count
 
 
-def _choose(text: View, meta: View, cuts: list[tuple[int, float]]):
-    """(view, doc_id, good, ids) of the rows above each slot's cut, for the view that is taught."""
+def _choose(views: list[View], confident: float, shares: list[float]):
+    """(view, doc_id, good, ids) of a share of the rows of each slot, by a hash of doc_id, for the view that is taught."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            part = mix(docs.astype(np.uint64)).astype(np.float64) / 2.0**64
+            part = mix(batch.column(0).to_numpy().astype(np.uint64)).astype(np.float64) / 2.0**64
             ids = [Ids.of(batch.column(1)), Ids.of(batch.column(2))]
-            for slot, (cut, share) in enumerate(cuts):
-                view = slot // 2
-                bins = _sure((text, meta)[view], ids[view], slot % 2 == 1)
-                at = np.flatnonzero((bins > cut) | ((bins == cut) & (part < share)))
+            for slot, share in enumerate(shares):
+                at = np.flatnonzero((part < share) & _sure(views, ids, slot, confident))
                 if len(at):
                     # each view teaches the other one
+                    taught, at = 1 - slot // 2, pa.array(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), 1 - view, np.int32)), batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), slot % 2 == 1)), batch.column(2 - view).take(pa.array(at))],
+                        [pa.array(np.full(len(at), taught, np.int32)), batch.column(0).take(at), pa.array(np.full(len(at), slot % 2 == 1)), batch.column(1 + taught).take(at)],
                         names=["view", "doc_id", "good", "ids"],
                     )
 
     return choose
 
 
-def _cut(bins: list[tuple[int, int]], most: int) -> tuple[int, float]:
-    """(bin, share of it) such that about ``most`` rows are above: the surest, of the last bin a share by hash."""
-    taken = 0
-    for at, n in sorted(bins, reverse=True):
-        if taken + n > most:
-            return at, (most - taken) / n
-        taken += n
-    return (min(bins)[0], 1.0) if bins else (10**6, 0.0)
-
-
 def _fitted(examples: DataFrame, shards: list[int], least_rows: int, start: list[View] | None = None) -> list[View]:
     """The views fitted to (view, shard, doc_id, good, ids), each shard in one task, as the mean over a view's shards."""
     block = 4096
@@ -445,23 +426,20 @@ def train(
 
         views = _fitted(examples([1, 1], None), [1, 1], least_rows)
         pool = table.where("doc_id is not null").select("doc_id", "words", "meta")
-        least = int(np.ceil(np.log(confident / (1 - confident)) * 16))
         for nth in range(1, rounds + 1):
-            # at most 4 * 641 counts
-            tally = pool.mapInArrow(_tally(*views, least), "slot int, bin int, n long").groupBy("slot", "bin").agg(F.sum("n").alias("n")).collect()
-            rows = sum(r["n"] for r in tally if r["slot"] < 0)
-            by_slot = [[(r["bin"], r["n"]) for r in tally if r["slot"] == slot] for slot in range(4)]
-            if not any(by_slot):
+            tally = dict(pool.mapInArrow(_tally(views, confident), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().to_numpy())
+            if not any(tally.get(slot) for slot in range(4)):
                 break
-            most = int(np.ceil(nth * exchange * rows))
+            most = int(np.ceil(nth * exchange * tally[-1]))
+            shares = [min(1.0, most / max(1, tally[slot])) for slot in range(4)]
             handed = (
-                pool.mapInArrow(_choose(*views, [_cut(x, most) for x in by_slot]), "view int, doc_id long, good boolean, ids binary")
+                pool.mapInArrow(_choose(views, confident, shares), "view int, doc_id long, good boolean, ids binary")
                 .join(given.select("doc_id"), "doc_id", "left_anti")
                 .groupBy("view", "doc_id")
                 .agg(F.min(F.struct("ids", "good")).alias("row"))
                 .select("view", "doc_id", "row.good", "row.ids")
             )
-            taught = [sum(min(most, sum(n for _, n in by_slot[s])) for s in slots) for slots in ((2, 3), (0, 1))]
+            taught = [sum(min(most, int(tally[slot])) for slot in slots) for slots in ((2, 3), (0, 1))]
             shards = [max(1, -(-n // shard_rows)) for n in taught]
             views = _fitted(examples(shards, handed), shards, least_rows, views)
         if folds:
