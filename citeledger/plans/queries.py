@@ -13,7 +13,8 @@ from citeledger.operators.compare import consultations
 from citeledger.operators.resolve import latest_notices, merged_notices, resolve, routed
 from citeledger.plans import derived
 from citeledger.plans.audit import AuditOptions, Registries, audit
-from citeledger.scratch import load
+from citeledger.scratch import keep, load
+from citeledger.suggest import suggested_fields
 
 Spark = SparkSession
 
@@ -61,7 +62,8 @@ def resolution(spark: Spark, d: str) -> DataFrame:
 
 
 def _audited(spark: Spark, d: str) -> DataFrame:
-    return audit(derived.stored(spark, d), Registries(_registries(spark, d)))
+    # results are a table: what reads them doesn't judge again
+    return keep(audit(derived.stored(spark, d), Registries(_registries(spark, d))).select("pos", "key", "kind", "verdict", "issues", "suppressed"), "audited")
 
 
 def issues(spark: Spark, d: str) -> DataFrame:
@@ -123,19 +125,6 @@ def fuzzy_titles(spark: Spark, d: str) -> DataFrame:
     return rel.fuzzy_duplicates(names.select(F.col("title_key").alias("key"), "title_key"))
 
 
-def candidates_confirmed(spark: Spark, d: str) -> DataFrame:
-    """Each part looks for the record of its own brand that has its title."""
-    part = load(spark, d, "part")
-    title = F.concat_ws(" ", "p_name", "p_type", "p_size")
-    ref = part.select(F.col("p_partkey").alias("ref"), F.upper(title).alias("r_title"), F.lit("article").alias("r_kind"), F.col("p_size").alias("r_year"), "p_brand", "p_name", "p_type")
-    one = part.select(title.alias("c_title"), F.lit("article").alias("c_kind"), F.col("p_size").alias("c_year"), F.col("p_partkey").cast("string").alias("doi"),
-                      F.col("p_partkey").alias("nth"), "p_brand", "p_name", "p_type")
-    # the block: candidates share brand, name and type, so sizes alone tell titles apart
-    return rel.confirmed(
-        rel.candidate_union([ref.join(one, ["p_brand", "p_name", "p_type"])]).where(F.col("r_year") == F.col("c_year"))
-    ).select("ref", "doi")
-
-
 def cited_keys(spark: Spark, d: str) -> DataFrame:
     c = load(spark, d, "conversations").withColumn("body", F.concat(F.lit("as ["), F.lit("@key"), F.col("conv_id"), F.lit("; @fig-x] and @"), F.col("role"), F.lit(". "), "text"))
     index = rel.citekey_index(rel.citekeys(c, "body"), ["conv_id", "turn"])
@@ -169,15 +158,13 @@ def parsed_bylines(spark: Spark, d: str) -> DataFrame:
 
 
 def suggestions(spark: Spark, d: str) -> DataFrame:
-    from citeledger.report import suggested_fields
-
     return suggested_fields(_audited(spark, d)).select("pos", "field", "value")
 
 
 def queries() -> dict:
     every = (
         fold_names, fold_documents, doi_keys, parsed_fields, isbn_keys, resolution, issues, verdicts, verdict_counts, errors_by_field,
-        suppression, richest_per_customer, latest_with_tombstones, notices_merged, duplicate_texts, fuzzy_titles, candidates_confirmed,
+        suppression, richest_per_customer, latest_with_tombstones, notices_merged, duplicate_texts, fuzzy_titles,
         cited_keys, geography, pivoted_parts, ordered_lines, parsed_bylines, suggestions,
     )
     return {q.__name__: q for q in every}
@@ -230,8 +217,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT coalesce(a.doi, b.doi) AS doi, CASE WHEN b.doi IS NULL THEN 'correction' ELSE 'retraction' END AS kind, coalesce(a.n, b.n) AS notice_doi,
             CASE WHEN b.doi IS NULL THEN 'retraction-watch' WHEN a.doi IS NULL THEN 'pubmed' ELSE 'pubmed,retraction-watch' END AS source
             FROM a FULL JOIN b ON a.doi = b.doi""",
-        "duplicate_texts": "SELECT md5(text) AS value, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS members, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-        "candidates_confirmed": """SELECT p_partkey AS ref, min(p_partkey) OVER (PARTITION BY p_brand, p_name, p_type, p_size)::VARCHAR AS doi FROM part""",
+        "duplicate_texts": "SELECT md5(text) AS value, array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 20), ' ') AS members, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
         "cited_keys": """WITH k AS (SELECT 'key' || conv_id AS citekey, conv_id FROM conversations UNION ALL SELECT role, conv_id FROM conversations)
             SELECT citekey, count(*) AS n, min(conv_id) AS first_conv FROM k GROUP BY citekey""",
         "geography": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation

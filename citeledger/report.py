@@ -62,11 +62,11 @@ class Summary:
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row: total, failing, ok, artifacts, adjudicated and the count of each verdict."""
+    """One row: total, failing, artifacts, adjudicated and the count of each verdict."""
     of = lambda test: F.count_if(test)
     suppressed = lambda test: F.coalesce(F.sum(F.size(F.filter("suppressed", test))), F.lit(0))
     return results.agg(
-        F.count("*").alias("total"), of(F.col("verdict").isin(FAILING)).alias("failing"), of(F.col("verdict") == "OK").alias("ok"),
+        F.count("*").alias("total"), of(F.col("verdict").isin(FAILING)).alias("failing"),
         suppressed(lambda i: i["kind"] == ARTIFACT).alias("artifacts"), suppressed(lambda i: i["kind"] != ARTIFACT).alias("adjudicated"),
         *(of(F.col("verdict") == v).alias(v.lower().replace("-", "_")) for v in VERDICTS),
     )
