@@ -171,11 +171,11 @@ class Phrases:
 def _searcher(phrases: Phrases):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def found() -> Iterator[pa.RecordBatch]:
-            text, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            text, ids, digests, places = (np.concatenate(x) for x in zip(*held, strict=True))
             index = FMIndex(text, phrases.n_symbols)
             lo, hi = index.ranges(phrases.rows, phrases.lengths)
             which = np.repeat(np.arange(len(lo)), hi - lo)
@@ -189,15 +189,15 @@ def _searcher(phrases: Phrases):
             start = places[at[again]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids[at[again]], np.array([i for x in of for i in x], np.int64), start,
+                    ids[at[again]], digests[at[again]], np.array([i for x in of for i in x], np.int64), start,
                     start + phrases.lengths[which[again]],
                 ],
-                names=["doc_id", "item_id", "start_word", "end_word"],
+                names=["doc_id", "digest", "item_id", "start_word", "end_word"],
             )
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for s in hasher.slices(batch.column(1).to_pylist()):
+            ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for s in hasher.slices(batch.column(2).to_pylist()):
                 if not len(s.hashes):
                     continue
                 symbols = phrases.symbols(s.hashes)
@@ -216,6 +216,7 @@ def _searcher(phrases: Phrases):
                 held.append((
                     text,
                     np.insert(ids[s.rows[own[at]]], starts, 0),
+                    np.insert(digests[s.rows[own[at]]], starts, 0),
                     np.insert(at - s.first[own[at]], starts, 0),
                 ))
                 size += len(text)
@@ -230,13 +231,18 @@ def _searcher(phrases: Phrases):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word): every place where a phrase of an item occurs."""
+    """(doc_id, digest, item_id, start_word, end_word): every place where a phrase of an item occurs.
+
+    digest is the text's: rows that share a doc_id but not the text are told apart by it.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         "item_id is not null and text is not null"
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    schema = "doc_id long, item_id long, start_word long, end_word long"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").where(
+        "doc_id is not null and text is not null"
+    )
+    schema = "doc_id long, digest long, item_id long, start_word long, end_word long"
     found, part, size = [], [], 0
 
     def scan() -> None:
@@ -260,18 +266,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, least: in
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, n_items, item_id): merged spans, end exclusive.
+    """(doc_id, digest, start_word, end_word, n_words, n_items, item_id): merged spans, end exclusive.
 
     Hits that overlap or touch are one span; item_id is the least of its n_items items.
     """
-    by_place = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    by_place = Window.partitionBy("doc_id", "digest").orderBy("start_word", "end_word")
     islands = (
         hits(docs, benchmark, n, least)
         .withColumn("reached", F.max("end_word").over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("jump", F.when(F.col("start_word") > F.col("reached"), 1).otherwise(0))
         .withColumn("island", F.sum("jump").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    return islands.groupBy("doc_id", "island").agg(
+    return islands.groupBy("doc_id", "digest", "island").agg(
         F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"),
         (F.max("end_word") - F.min("start_word")).alias("n_words"),
         F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"),
@@ -279,7 +285,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE_WORDS,
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_spans(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return removal_spans(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("digest")
 
 
 SQL = f"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeledger.llm.words import WordHasher, mix
+from citeledger.llm.words import WordHasher, fresh, mix
 from citeledger.scratch import drop, keep, load
 
 TABLES, MOST_BITS, LEAST_WORDS = 5, 20, 8
@@ -278,9 +278,10 @@ def groups(docs: DataFrame, tables: int = TABLES, most_bits: int = MOST_BITS, le
 
 def without_near_copies(docs: DataFrame, **settings) -> DataFrame:
     """docs with one document of each group; a null doc_id stays, repeated rows of a kept one too."""
-    kept = groups(docs, **settings).where("keep").select(F.col("doc_id").alias("__kept"))
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    (name,) = fresh(docs.columns, "kept")
+    kept = groups(docs, **settings).where("keep").select(F.col("doc_id").alias(name))
+    known = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    return known.unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeledger.llm.words import SQL_WORDS, WordHasher, inside, mix, ngram_hashes, sliding, word_spans
+from citeledger.llm.words import SQL_WORDS, WORD_RE, WordHasher, fresh, inside, mix, ngram_hashes, sliding, word_spans
 from citeledger.scratch import load
 
 MIN_WORDS, ANCHOR_WORDS = 50, 25
@@ -248,15 +248,15 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, with_digest: bool) -> DataFrame:
-    """docs with the spans (doc_id[, digest], start_word, end_word) cut from their texts.
+def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with the spans (doc_id, digest, start_word, end_word) cut from their texts.
 
     Documents of which no word is left go; those without spans stay as they are, also with a
     null doc_id or text.  n_chars follows the new text, if there is such a column.
     """
-    keys = ["__doc", "__digest"] if with_digest else ["__doc"]
-    lists = spans.groupBy(*(F.col(k.strip("_") if k != "__doc" else "doc_id").alias(k) for k in keys)).agg(
-        F.collect_list(F.struct("start_word", "end_word")).alias("__spans")
+    doc, digest, found = fresh(docs.columns, "doc", "digest", "found")
+    lists = spans.groupBy(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).agg(
+        F.collect_list(F.struct("start_word", "end_word")).alias(found)
     )
 
     @F.pandas_udf("string")
@@ -264,13 +264,13 @@ def without_spans(docs: DataFrame, spans: DataFrame, with_digest: bool) -> DataF
         return text.combine(found, lambda t, s: cut_words(t, [(int(x["start_word"]), int(x["end_word"])) for x in s]))
 
     cut = cut.asNondeterministic()
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__digest", F.xxhash64("text"))
-    merged = keyed.join(lists, keys, "left")
-    hit = F.col("__spans").isNotNull() & F.col("text").isNotNull()
-    out = merged.where(hit).withColumn("text", cut("text", "__spans")).where(F.length(F.trim("text")) > 0)
+    merged = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(digest, F.xxhash64("text")).join(lists, [doc, digest], "left")
+    hit = F.col(found).isNotNull() & F.col("text").isNotNull()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = merged.where(hit).withColumn("text", cut("text", found)).where(F.col("text").rlike(WORD_RE.pattern))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns).unionByName(merged.where(~hit).select(docs.columns))
+    return out.select(*own).unionByName(merged.where(~hit).select(*own))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

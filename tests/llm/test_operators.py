@@ -332,3 +332,35 @@ def test_pipeline_keeps_clean_documents(spark):
         out = stage(spark, frame, "")
         assert out.columns == frame.columns and out.where("doc_id < 12").count() == 12, name
     assert pipe.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_sequences_hold_what_pack_places(spark):
+    rng = random.Random(29)
+    rows = [(i, words(rng.choice([1, 3, 9, 20, 45, 130]), rng=rng)) for i in range(300)] + ODD
+    frame = docs(spark, rows)
+    packed = [r for r in harmonic_packing.pack(frame, 40, 8, 50).collect() if r.bin]
+    bins = {r.bin: r for r in harmonic_packing.sequences(frame, 40, 8, 50).collect()}
+    held = defaultdict(list)
+    for r in packed:
+        held[r.bin].append(r)
+    assert set(bins) == set(held)
+    for name, parts in held.items():
+        b = bins[name]
+        assert b.n_words == sum(p.n_words for p in parts) <= 40 and sorted(b.doc_ids, key=str) == sorted((p.doc_id for p in parts), key=str)
+        assert len(b.text.split()) == b.n_words and len(parts) <= max(1, b["class"])
+    # all words of all documents are in some sequence
+    assert sorted(w for b in bins.values() for w in b.text.split()) == sorted(w for _, t in rows for w in (t or "").split())
+    assert harmonic_packing.sequences(docs(spark, [])).count() == 0
+
+
+def test_spans_are_cut_from_their_own_text(spark):
+    from citeledger.llm.words import word_spans
+
+    rows = [(1, "a b c\nd", "x"), (1, "p q r s", "x"), (2, "a b c\n", "x"), (3, None, "x"), (None, "a b", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumns({"__doc": F.lit(1), "found": F.lit(2), "DOC": F.lit(3)})
+    spans = frame.where("text like 'a b c%'").select("doc_id", F.xxhash64("text").alias("digest"), F.lit(0).alias("start_word"), F.lit(3).alias("end_word"))
+    left = substring_dedup.without_spans(frame, spans)
+    assert left.columns == frame.columns and sorted((r.doc_id, r.text) for r in left.where("doc_id is not null and text is not null").collect()) == [(1, "\nd"), (1, "p q r s")]
+    assert left.count() == 4 and len(word_spans("a b c\nd")) == 4
+    assert substring_dedup.cut_words("one two, three four.", [(1, 3)]) == "one  four." and substring_dedup.cut_words("a b", [(0, 9), (5, 6)]) == ""
+    assert simhash_dedup.without_near_copies(frame.withColumns({"kept": F.lit(0), "__kept": F.lit(0)})).count() == 5
