@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeledger.llm.cotraining import without_rejected
 from citeledger.llm.decontaminate import removal_spans
-from citeledger.llm.harmonic_packing import pack
+from citeledger.llm.harmonic_packing import sequences
 from citeledger.llm.simhash_dedup import without_near_copies
 from citeledger.llm.substring_dedup import repeats, without_spans
 from citeledger.scratch import keep, load, noted, release
@@ -49,19 +49,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_clearing
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go, except where they come first; documents left without words go."""
-    return without_spans(docs, repeats(docs), with_digest=True)
+    return without_spans(docs, repeats(docs))
 
 
 @_clearing
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents left without words go."""
-    return without_spans(docs, removal_spans(docs, load(spark, sf_dir, "benchmark")), with_digest=False)
+    return without_spans(docs, removal_spans(docs, load(spark, sf_dir, "benchmark")))
 
 
 @_clearing
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bins of what is left."""
-    return pack(docs)
+    """What is left, as sequences: the bins with the ids and texts of their documents."""
+    return sequences(docs)
 
 
 STAGES = [
