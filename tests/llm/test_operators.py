@@ -255,6 +255,61 @@ def test_rollup(spark):
         rollup.commit("bad", of([("upsert", "a", "en", "t1", 1, None)]))
 
 
+def test_token_counts_by_vocabulary(spark):
+    versions = token_rollup.vocabularies()
+    if not versions:
+        pytest.skip("no vocabulary files")
+    texts = ["The cat's 12 naïve  words\n", "", None, "日本語 text", "x" * 5000, "The cat's 12 naïve  words\n"]
+    rows = [(i % 5, t, "en", "a" if i % 2 else None) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"copy": F.lit(1), "body": F.lit(2)})
+    facts = token_rollup.counted(frame, versions).cache()
+    encoders = {n: token_rollup.encoder(n, r) for n, r in versions.items()}
+    for n, e in encoders.items():
+        assert e.decode(e.encode_ordinary(texts[0])) == texts[0] and e.encode_ordinary(texts[0]) == merged_pairs(texts[0], versions[n])
+    got = {(r.doc_id, r.source, r.copy): r for r in facts.collect()}
+    assert len(got) == len(texts)
+    first, second = versions
+    kept = {}
+    for r in sorted(facts.collect(), key=lambda r: (r.doc_id, r.source or "", r.lang)):
+        kept.setdefault(r.copy, r)
+    want = defaultdict(lambda: [0, 0])
+    for r in kept.values():
+        for n in versions:
+            want[r.source, r.lang, n][0] += 1
+            want[r.source, r.lang, n][1] += r[n]
+    assert {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in token_rollup.rolled_up(facts, first, second).collect()} == dict(want)
+    assert token_rollup.rolled_up(facts.where("false"), first, second).count() == 0 and token_rollup.vocabularies("/none") == {}
+
+
+def merged_pairs(text, ranks):
+    """Byte-pair merging by its definition: the pair of least rank first."""
+    import base64
+
+    import regex
+
+    rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, ranks.split(b"\n")))}
+    out = []
+    for part in regex.findall(token_rollup.PARTS, text):
+        pieces = [bytes([b]) for b in part.encode()]
+        while pairs := [(rank[a + b], i) for i, (a, b) in enumerate(zip(pieces, pieces[1:])) if a + b in rank]:
+            i = min(pairs)[1]
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        out += [rank[x] for x in pieces]
+    return out
+
+
+def test_rollup_survives_a_broken_commit(spark):
+    folder = f"{shared_folder(spark)}/rollup-broken-{random.random()}"
+    rollup = token_rollup.Rollup(spark, folder)
+    assert rollup.totals().count() == 0
+    batch = spark.createDataFrame([("insert", "a", "en", "t", 3, None, 1)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long, docs long")
+    assert rollup.commit("one", batch)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batches/one/_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, False)
+    assert rollup.totals().count() == 0 and rollup.commit("one", batch) and not rollup.commit("one", batch)
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 3)]
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "a", "Shall we meet on Monday at noon?\n\nBring the long report."), (1, 1, "b", "> Shall we meet on\n> Monday at noon?\nYes, that suits me well."),
