@@ -49,6 +49,24 @@ def test_minimax_equals_dynamic_programming(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
 
 
+def test_minimax_narrows_to_few_totals(spark):
+    """A skewed table (one text has a tenth of all characters) with a coarse grid and a small search."""
+    rng = random.Random(41)
+    rows = [(i, "x" * rng.choice([0, 1, 7, 30, 200])) for i in range(3000)]
+    rows += [(5000 + i, "the same long text of all " * 3) for i in range(300)] + [(9000, None), (None, "loose"), (None, "loose"), (9001, "")]
+    searched = []
+    frame = docs(spark, [(i, t if t is None or len(t) > 70 else t + str(i)) for i, t in rows])
+    for shards in (1, 5, 16):
+        want = sharding.shard(frame, shards).select("capacity", "group_id", "shard").distinct().collect()
+        got = sharding.shard(frame, shards, points=50, gathered=40).select("capacity", "group_id", "shard").distinct().collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        loads = defaultdict(int)
+        for r in sharding.shard(frame, shards, points=7, gathered=1).collect():
+            loads[r.shard] += r["size"]
+            searched.append(r.capacity)
+        assert max(loads.values()) == want[0].capacity == searched[-1]
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(3)
     rows, labels = [], []
