@@ -5,8 +5,9 @@ being ordered by (doc_id, digest of the text, word).  Seeds are k-word anchors c
 winnowing with a window of ``min_words - k + 1``, so every repeat holds an anchor that was
 chosen at both of its places.  Anchors that occur once are dropped by a shuffle on their
 hash; only the rest are extended: each carries the words around it, and all ways to grow it
-left and right to ``min_words`` words are compared within its group, which is exact and
-never pairs two documents.  Grown places that touch or overlap are one maximal repeat.
+left and right to ``min_words`` words are compared within its group, by hashes of 8 bytes for the
+anchor and 3 for each other word.  That never pairs two documents, and of an anchor that many
+rows hold, only the first place of each different window is remembered.  Grown places that touch or overlap are one maximal repeat.
 
 Defined cases: a null doc_id or null, empty or short text has no repeats.  Rows that repeat
 a doc_id with the same text are one document, with other text are different ones.  Of equal
@@ -30,6 +31,8 @@ MIN_WORDS, ANCHOR_WORDS = 50, 25
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of hash that each word beside an anchor is compared by; the anchor itself has 8.
 WORD_BYTES = 3
+#: Rows that are grown at once; bounds memory, not the result.
+CHUNK_ROWS = 60_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -110,11 +113,40 @@ def _contexts(k: int, reach: int):
     return surround
 
 
+class _Seen:
+    """The first place of each grown window of the anchor that a chunk of rows ends with."""
+
+    def __init__(self, reach: int):
+        self.anchor: int | None = None
+        none = np.zeros(0, np.int64)
+        self.of = [(np.zeros(0, np.uint64), none, none, none.astype(np.int32))] * (reach + 1)
+
+    def origins(self, out: int, keys: np.ndarray, places: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The places of keys, or the first ones that were seen, and which were."""
+        known, *first = self.of[out]
+        if not len(known):
+            return places, np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        there = known[at] == keys
+        return tuple(np.where(there, f[at], p) for f, p in zip(first, places, strict=True)), there
+
+    def add(self, out: int, anchor: int, keys: np.ndarray, places: tuple[np.ndarray, ...]) -> None:
+        """Keys and places that are new, of the last anchor."""
+        old = self.of[out] if anchor == self.anchor else tuple(x[:0] for x in self.of[out])
+        joined = [np.concatenate(x) for x in zip(old, (keys, *places), strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        self.of[out] = tuple(x[order] for x in joined)
+
+
 def _grown(reach: int):
-    """For each anchor: the ways to grow it that an earlier place shares, as bits, and the first such document."""
+    """For each anchor: the ways to grow it that an earlier place shares, as bits, and the first such document.
+
+    Rows come in the order of anchor and place and are taken some at a time.  Of an anchor that
+    goes on, only the first place of each different window is remembered, not its rows.
+    """
 
-    def group(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
+    def grow_rows(table: pa.Table, seen: _Seen) -> pa.RecordBatch:
+        table = table.combine_chunks()
         anchor, ids, digests, word, left, right = (table.column(i).to_numpy() for i in range(6))
         n = len(anchor)
         raw = table.column(6).chunk(0)
@@ -127,47 +159,40 @@ def _grown(reach: int):
         for j in range(reach):
             lefts.append(mix(lefts[-1] + (around[:, reach - 1 - j] + np.uint64(1)) * step))
             rights.append(mix(rights[-1] + (around[:, reach + j] + np.uint64(1)) * step))
-        order = np.lexsort((word, digests, ids))
         bits, first = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
+        last = int(anchor[-1])
         for out in range(reach + 1):
-            have = order[(left[order] >= out) & (right[order] >= reach - out)]
-            if len(have) < 2:
-                continue
+            have = np.flatnonzero((left >= out) & (right >= reach - out))
             key = lefts[out][have] ^ (rights[reach - out][have] * np.uint64(0xD6E8FEB86659FD93))
             by = np.argsort(key, kind="stable")
-            sorted_key = key[by]
-            start = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-            origin = have[by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))]]
-            own = have[by]
-            later = (ids[origin] != ids[own]) | (digests[origin] != digests[own]) | (word[origin] != word[own])
-            own, origin = own[later], origin[later]
-            bits[own] |= 1 << out
-            first[own] = np.minimum(first[own], ids[origin])
-        hit = bits > 0
+            keys, own = key[by], have[by]
+            start = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+            origin = own[np.maximum.accumulate(np.where(start, np.arange(len(own)), 0))] if len(own) else own
+            (doc, digest, place), there = seen.origins(out, keys, (ids[origin], digests[origin], word[origin]))
+            later = (doc != ids[own]) | (digest != digests[own]) | (place != word[own])
+            hit = own[later]
+            bits[hit] |= 1 << out
+            first[hit] = np.minimum(first[hit], doc[later])
+            fresh_keys = start & ~there & (anchor[own] == last)
+            new = own[fresh_keys]
+            seen.add(out, last, keys[fresh_keys], (ids[new], digests[new], word[new]))
+        seen.anchor = last
+        found = bits > 0
         return pa.RecordBatch.from_arrays(
-            [ids[hit], digests[hit], word[hit], bits[hit], first[hit]], names=["doc_id", "digest", "word", "grown", "first"]
+            [ids[found], digests[found], word[found], bits[found], first[found]], names=["doc_id", "digest", "word", "grown", "first"]
         )
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
+        seen, held, size = _Seen(reach), [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size < 60_000:
-                continue
-            # rows come sorted by anchor: all but the last anchor are complete
-            a = np.concatenate([b.column(0).to_numpy() for b in held])
-            cut = int(np.searchsorted(a, a[-1]))
-            if cut:
-                table = pa.Table.from_batches(held)
-                yield group(table.slice(0, cut).to_batches())
-                held = table.slice(cut).to_batches()
-                size -= cut
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                yield grow_rows(pa.Table.from_batches(held), seen)
+                held, size = [], 0
         if held:
-            yield group(held)
+            yield grow_rows(pa.Table.from_batches(held), seen)
 
     return grow
 
@@ -198,7 +223,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS)
     )
     grown = (
         around.repartition("anchor")
-        .sortWithinPartitions("anchor")
+        .sortWithinPartitions("anchor", "doc_id", "digest", "word")
         .mapInArrow(_grown(reach), "doc_id long, digest long, word int, grown long, first long")
     )
     runs = grown.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("word", "grown", "first")).alias("hits"))

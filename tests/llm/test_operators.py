@@ -232,7 +232,11 @@ def test_license_families_and_bodies(spark):
     assert {(10 + i, n) for i, n in enumerate(whole)} <= found
 
 
-def test_substring_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("chunk", [60_000, 3])
+def test_substring_repeats_equal_brute_force(spark, monkeypatch, chunk):
+    """Also where rows of one anchor are grown three at a time."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_ROWS", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", chunk)
     rng = random.Random(13)
     shared = words(30, rng=rng)
     rows = [(i, words(20, rng=rng) + " " + (shared if i % 2 else words(5, rng=rng)) + " " + words(8, rng=rng)) for i in range(8)]
@@ -253,6 +257,7 @@ def test_substring_repeats_equal_brute_force(spark):
                 want.add((i, start, prev + 12))
                 start = a
             prev = a
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and want
     assert substring_dedup.repeats(docs(spark, [])).count() == 0
 
