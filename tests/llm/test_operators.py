@@ -409,7 +409,80 @@ def test_pipeline_keeps_clean_documents(spark):
     for name, stage in pipe.STAGES[1:3]:
         out = stage(spark, frame, "")
         assert out.columns == frame.columns and out.where("doc_id < 12").count() == 12, name
-    assert pipe.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def repeated_windows(texts, size):
+    """Brute force: of each text (id, words), the merged places of windows that occur earlier."""
+    seen, out = set(), {}
+    for i, ws in texts:
+        at = []
+        for a in range(len(ws) - size + 1):
+            gram = tuple(ws[a : a + size])
+            if gram in seen:
+                at.append(a)
+            seen.add(gram)
+        out[i] = at
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage on what the one before it kept, and run() as a whole."""
+    import corpus_pipeline as pipe
+
+    sf = "/root/testdata/sf0.001"
+    stages, tables = dict(pipe.STAGES), [pipe.load(spark, sf, "documents")]
+    for name, stage in pipe.STAGES:
+        tables.append(pipe.keep(stage(spark, tables[-1], sf), name))
+    rows = [{r.doc_id: r for r in t.collect()} for t in tables[:5]]
+    assert all(t.columns == tables[0].columns for t in tables[1:5]) and len(stages) == 5
+    # 1: the rows that the classifier keeps
+    f = cotraining.features(tables[0]).cache()
+    model = cotraining.train(f, pipe.load(spark, sf, "labels"))
+    assert set(rows[1]) == {r.doc_id for r in cotraining.scored(f, model).collect() if r.keep}
+    # 2: all pairs; those within 14 bits surely meet, those beyond 20 never do
+    signed = [(r.doc_id, np.array(r.prints, np.uint32)) for r in simhash_dedup.signatures(tables[1]).collect()]
+
+    def dropped(bits):
+        parent = {i: i for i, _ in signed}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for n, (i, a) in enumerate(signed):
+            for j, b in signed[n + 1 :]:
+                if np.bitwise_count(a ^ b).sum() <= bits and root(i) != root(j):
+                    low, high = sorted((root(i), root(j)))
+                    parent[high] = low
+        return {i for i in parent if root(i) != i}
+
+    gone = set(rows[1]) - set(rows[2])
+    assert dropped(14) <= gone <= dropped(simhash_dedup.MOST_BITS)
+    # 3: passages of 50 words that occur earlier go
+    lists = [(i, words_of(r.text)) for i, r in sorted(rows[2].items())]
+    size, want = substring_dedup.MIN_WORDS, {}
+    for i, at in repeated_windows(lists, size).items():
+        text = rows[2][i].text
+        want[i] = substring_dedup.cut_words(text, sharding.merged([(a, a + size) for a in at])) if at else text
+    assert {i: r.text for i, r in rows[3].items()} == {i: t for i, t in want.items() if words_of(t) or t == rows[2][i].text}
+    # 4: phrases of the benchmark go
+    n, phrases = decontaminate.PHRASE_WORDS, set()
+    for item in pipe.load(spark, sf, "benchmark").collect():
+        ws = words_of(item.text)
+        if len(ws) >= decontaminate.LEAST_WORDS:
+            phrases |= {tuple(ws[a : a + n]) for a in range(max(1, len(ws) - n + 1))}
+    want = {}
+    for i, r in rows[3].items():
+        ws = words_of(r.text)
+        at = [(a, a + k) for k in {len(p) for p in phrases} for a in range(len(ws) - k + 1) if tuple(ws[a : a + k]) in phrases]
+        want[i] = substring_dedup.cut_words(r.text, sharding.merged(sorted(at))) if at else r.text
+    assert {i: r.text for i, r in rows[4].items()} == {i: t for i, t in want.items() if words_of(t) or t == rows[3][i].text}
+    # 5: all words that are left, in sequences
+    packed = tables[5].collect()
+    assert sorted(w for r in packed for w in r.text.split()) == sorted(w for r in rows[4].values() for w in r.text.split())
+    assert all(r.n_words == len(r.text.split()) <= harmonic_packing.CAPACITY for r in packed)
+    assert sorted(map(str, pipe.run(spark, sf).collect())) == sorted(map(str, packed))
 
 
 def test_sequences_hold_what_pack_places(spark):
