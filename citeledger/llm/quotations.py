@@ -36,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeledger.llm.words import WordHasher, clean_bytes, ngram_hashes
+from citeledger.llm.words import SQL_WORDS, WordHasher, clean_bytes, ngram_hashes
 from citeledger.scratch import load
 
 LEAST_WORDS = 3
@@ -250,5 +250,46 @@ def linked(messages: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     return known.mapInArrow(_link(least), schema).unionByName(alone.mapInArrow(_link(least), schema))
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, role, text) of which every third begins with a quote of all that was said two before it."""
+    before = F.lag("text", 2).over(Window.partitionBy("conv_id").orderBy("turn"))
+    quote = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, before)
+    marked = F.concat(F.lit("> "), F.replace(quote, F.lit("\n"), F.lit("\n> ")), F.lit("\n"), "text")
+    return messages.select("conv_id", "turn", "role", F.coalesce(marked, "text").alias("text"))
+
+
 def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(load(spark, sf_dir, "conversations"))
+    """All conversations, with quotes put in: the table has none of its own."""
+    return linked(quoting(load(spark, sf_dir, "conversations")))
+
+
+_WORDS = SQL_WORDS.replace("text", "x")
+_LINES = f"[y FOR y IN [array_to_string({_WORDS}, ' ') FOR x IN string_split(orig, chr(10))] IF y <> '']"
+SQL = f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text AS orig, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
+),
+w AS (
+  SELECT *, array_to_string({_LINES}, ' ') AS said, chr(1) || array_to_string({_LINES}, chr(1)) || chr(1) AS lines FROM m
+),
+q AS (SELECT a.conv_id, a.i, b.said, b.lines FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.i = a.i - 2 WHERE (a.conv_id + a.turn) % 3 = 0 AND b.said <> ''),
+f AS (
+  SELECT q.conv_id, q.i, o.i AS place, contains(o.lines, q.lines) AS whole, len(string_split(q.said, ' ')) AS n
+  FROM q JOIN w o ON o.conv_id = q.conv_id AND o.i < q.i AND contains(' ' || o.said || ' ', ' ' || q.said || ' ')
+),
+l AS (
+  SELECT conv_id, i, CASE WHEN max(n) < {LEAST_WORDS} THEN 1 ELSE count(*) END AS links,
+         CASE WHEN max(n) < {LEAST_WORDS} THEN max(place) ELSE arg_max(place, CASE WHEN whole THEN 1000000 ELSE 0 END + place) END AS parent FROM f GROUP BY 1, 2
+),
+p AS (
+  SELECT m.*, coalesce(l.links, 0) AS links, CASE WHEN l.parent IS NULL THEN 0 ELSE 1 END AS level, coalesce(l.parent, m.i - 1) AS parent
+  FROM m LEFT JOIN l ON m.conv_id = l.conv_id AND m.i = l.i
+),
+t AS (
+  SELECT conv_id, i, [i] AS path FROM p WHERE parent = 0
+  UNION ALL SELECT p.conv_id, p.i, list_append(t.path, p.i) FROM t JOIN p ON p.conv_id = t.conv_id AND p.parent = t.i
+)
+SELECT p.conv_id, p.turn, p.role, trim(p.orig, chr(10)) AS text, o.turn AS reply_to, p.level::BIGINT AS quoted_level, p.links::BIGINT AS links,
+       row_number() OVER (PARTITION BY p.conv_id ORDER BY t.path) AS position, (len(t.path) - 1)::BIGINT AS depth
+FROM p JOIN t ON t.conv_id = p.conv_id AND t.i = p.i LEFT JOIN m o ON o.conv_id = p.conv_id AND o.i = p.parent
+"""
