@@ -365,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "audit_verdicts": verdicts,
         "audit_outage": f"SELECT p_partkey AS pos, 'UNCHECKED' AS verdict, 'unreachable' AS crossref FROM part WHERE p_partkey % {len(cases.CASES)} IN ({with_doi})",
         "audit_summary": f"""SELECT count(*) AS total, count(*) FILTER (verdict IN {failing}) AS failing, count(*) FILTER (verdict = 'OK') AS ok,
-            (SELECT count(*) FROM ({findings}) WHERE kind = 'registry-artifact') AS artifacts, 0::BIGINT AS adjudicated, {counts} FROM ({verdicts})""",
+            (SELECT count(*) FROM ({findings}) WHERE kind = 'registry-artifact') AS artifact_issues, 0::BIGINT AS ruled_issues, {counts} FROM ({verdicts})""",
         "audit_error_fields": f"SELECT field, count(*) AS n FROM {kept} WHERE severity = 'error' GROUP BY field",
         "audit_json": f"""SELECT pos, verdict, CASE WHEN verdict IN {failing} THEN 'true' ELSE 'false' END AS fails, a.note, b.state AS crossref FROM ({verdicts})
             JOIN (VALUES {first}) AS a(n, note) ON pos % {len(cases.CASES)} = a.n JOIN (VALUES {identified}) AS b(n, state) ON pos % {len(cases.CASES)} = b.n""",

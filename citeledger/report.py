@@ -62,12 +62,12 @@ class Summary:
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row: total, failing, artifacts, adjudicated and the count of each verdict."""
+    """One row: total, failing, artifact_issues, ruled_issues and the count of each verdict."""
     of = lambda test: F.count_if(test)
     suppressed = lambda test: F.coalesce(F.sum(F.size(F.filter("suppressed", test))), F.lit(0))
     return results.agg(
         F.count("*").alias("total"), of(F.col("verdict").isin(FAILING)).alias("failing"),
-        suppressed(lambda i: i["kind"] == ARTIFACT).alias("artifacts"), suppressed(lambda i: i["kind"] != ARTIFACT).alias("adjudicated"),
+        suppressed(lambda i: i["kind"] == ARTIFACT).alias("artifact_issues"), suppressed(lambda i: i["kind"] != ARTIFACT).alias("ruled_issues"),
         *(of(F.col("verdict") == v).alias(v.lower().replace("-", "_")) for v in VERDICTS),
     )
 
@@ -87,7 +87,7 @@ def summarised(results: DataFrame) -> Summary:
     unsure = gaps.select("pos").distinct().count() if blind else 0
     verdicts = {v: n for v in SHOWN if (n := row[v.lower().replace("-", "_")])}
     fields = {r["field"]: r["n"] for r in error_fields(results).collect()}
-    return Summary(row["total"], verdicts, fields, row["artifacts"], row["adjudicated"], sorted(r["name"] for r in blind), unsure)
+    return Summary(row["total"], verdicts, fields, row["artifact_issues"], row["ruled_issues"], sorted(r["name"] for r in blind), unsure)
 
 
 def exit_code(results: DataFrame, failing: Iterable[str] = FAILING) -> int:
