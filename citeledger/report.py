@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeledger.schema import ARTIFACT, FAILING, VERDICTS
@@ -237,8 +237,12 @@ def citekey_problems(cited: DataFrame, defined: DataFrame) -> tuple[DataFrame, D
 def render_citekeys(missing: DataFrame, unused: DataFrame, stream: TextIO | None = None, places: int = 5, names: int = 20) -> int:
     """The problems of citation keys (citekey, locator, pos) and (citekey); returns how many keys are undefined."""
     stream, style = stream or sys.stdout, Style(has_colour(stream or sys.stdout))
-    by_key = missing.groupBy("citekey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "locator"))).alias("at"))
-    listed = by_key.select("citekey", "n", F.transform(F.slice("at", 1, places), lambda a: a["locator"]).alias("at")).orderBy("citekey")
+    # the first places of a key, not all that it is cited at
+    nth = F.row_number().over(Window.partitionBy("citekey").orderBy("pos"))
+    first = missing.withColumn("nth", nth).where(F.col("nth") <= places).groupBy("citekey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "locator"))), lambda a: a["locator"]).alias("at")
+    )
+    listed = missing.groupBy("citekey").agg(F.count("*").alias("n")).join(first, "citekey").orderBy("citekey")
     count = listed.count()
     if count:
         print(style.red(f"undefined citation keys ({count})"), file=stream)

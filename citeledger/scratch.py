@@ -58,7 +58,7 @@ def noted(paths: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _notes.remove(paths)
+        _notes.pop()
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
