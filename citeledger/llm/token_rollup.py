@@ -9,7 +9,8 @@ snapshot that remembers the names it holds.  Totals are additive: the order of b
 
 Tokens are counted by byte-level BPE: a tokenizer version is the name of a vocabulary file in
 ``folder`` (token and rank a line), read by the driver and sent to the workers, some MB whatever
-the corpus.  Where the folder lacks those files, ``PATTERNS`` stand in, each under its own name.
+the corpus.  Where the folder lacks one of those files, op7 fails and names it; counts by
+``PATTERNS`` are a query of their own.
 
 Defined cases: null source, lang or tokenizer is a key value of its own; null counts are 0 tokens;
 rows of an unknown or null op are refused when the batch is committed.  Repeated rows count
@@ -178,10 +179,12 @@ def rolled_up(facts: DataFrame, first: str, second: str) -> DataFrame:
     return rollup.totals()
 
 
-def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, versions = load(spark, sf_dir, "documents"), vocabularies()
-    facts = keep(counted(docs, versions) if versions else counted_by_patterns(docs), "token-counts")
-    return rolled_up(facts, *(versions or PATTERNS))
+def op7_token_rollup(spark: SparkSession, sf_dir: str, folder: str = FOLDER) -> DataFrame:
+    versions = vocabularies(folder)
+    if not versions:
+        gone = [f"{n}.tiktoken" for n in VOCABULARIES if not (Path(folder) / f"{n}.tiktoken").is_file()]
+        raise FileNotFoundError(f"{folder} lacks the vocabularies {', '.join(gone)}; token_rollup_by_patterns needs none")
+    return rolled_up(keep(counted(load(spark, sf_dir, "documents"), versions), "token-counts"), *versions)
 
 
 def token_rollup_by_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,16 @@ def test_token_counts_by_vocabulary(spark):
     assert token_rollup.rolled_up(facts.where("false"), first, second).count() == 0 and token_rollup.vocabularies("/none") == {}
 
 
+@pytest.mark.parametrize("there", [(), token_rollup.VOCABULARIES[:1]])
+def test_rollup_without_a_vocabulary_fails(spark, tmp_path, there):
+    docs(spark, [(1, "one two"), (2, "three")]).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    for name in there:
+        (tmp_path / f"{name}.tiktoken").write_bytes(b"")
+    with pytest.raises(FileNotFoundError, match=f"{token_rollup.VOCABULARIES[-1]}.tiktoken;"):
+        token_rollup.op7_token_rollup(spark, f"{tmp_path}/sf", str(tmp_path))
+    assert {r.tokenizer for r in token_rollup.token_rollup_by_patterns(spark, f"{tmp_path}/sf").collect()} == set(token_rollup.PATTERNS)
+
+
 def merged_pairs(text, ranks):
     """Byte-pair merging by its definition: the pair of least rank first."""
     import base64
