@@ -101,7 +101,8 @@ class Ids:
             if ends[-1] > ends[0]:
                 flat.append(np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint32))
             sizes.append(np.diff(ends).astype(np.int64) // 4)
-        return cls(np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.concatenate(sizes))
+        flat = flat or [np.zeros(0, np.uint32)]
+        return cls(flat[0] if len(flat) == 1 else np.concatenate(flat), np.concatenate(sizes))
 
     def packed(self) -> pa.Array:
         """The binary column that ``of`` reads."""
@@ -194,21 +195,26 @@ def fit_view(ids: Ids, good: np.ndarray, size: int, least_rows: int, start: View
     Entries are held twice, by row and by id, so that both sums run over whole 32-bit arrays.
     """
     n, y = len(ids.sizes), good.astype(np.float32)
-    flat = ids.flat.view(np.int32)
-    own = np.repeat(np.arange(n, dtype=np.int32), ids.sizes)
-    used = np.flatnonzero(np.bincount(flat, minlength=size) >= least_rows)
+    used = np.flatnonzero(np.bincount(ids.flat.view(np.int32), minlength=size) >= least_rows)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    on = place[flat] >= 0
-    flat, own = place[flat[on]], own[on]
-    # the bias is an id that every row holds, so no row and no id is without an entry
-    flat = np.append(flat, np.full(n, len(used), np.int32))
-    own = np.append(own, np.arange(n, dtype=np.int32))
-    order = np.argsort(own, kind="stable")
-    by_row, row_first = flat[order], np.searchsorted(own[order], np.arange(n))
-    order = np.argsort(flat, kind="stable")
-    by_id, id_first = own[order], np.searchsorted(flat[order], np.arange(len(used) + 1))
-    del flat, own, order, on, place
+    flat = place[ids.flat]
+    on = flat >= 0
+    held = np.bincount(np.repeat(np.arange(n, dtype=np.int32), ids.sizes)[on], minlength=n)
+    # the bias is an id that every row holds last, so no row and no id is without an entry
+    last = np.cumsum(held + 1) - 1
+    own_id = np.ones(int(held.sum()) + n, bool)
+    own_id[last] = False
+    by_row, row_first = np.full(len(own_id), len(used), np.int32), last - held
+    by_row[own_id] = flat[on]
+    del flat, on, own_id, place
+    # by id, then by row: sorted in place, as two halves of one number
+    key = by_row.astype(np.int64)
+    key <<= 32
+    key |= np.repeat(np.arange(n, dtype=np.int32), held + 1)
+    key.sort()
+    by_id, id_first = key.astype(np.int32), np.searchsorted(key, np.arange(len(used) + 1) << 32)
+    del key
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w = np.zeros(len(used) + 1, np.float32)
     w[-1] = np.log(share / (1 - share))
@@ -342,8 +348,9 @@ def _fitted(examples: DataFrame, shards: list[int], least_rows: int, start: list
     def fit(group: pa.Table) -> pa.Table:
         view, shard = group["view"][0].as_py(), group["shard"][0].as_py()
         group = group.sort_by("doc_id")
-        good = group["good"].to_numpy().astype(bool)
-        model = fit_view(Ids.of(group["ids"]), good, _SIZES[view], least_rows, start[view] if start else None)
+        good, ids = group["good"].to_numpy().astype(bool), Ids.of(group["ids"])
+        del group
+        model = fit_view(ids, good, _SIZES[view], least_rows, start[view] if start else None)
         parts = [model.weights[i : i + block] for i in range(0, _SIZES[view], block)]
         held = [i for i, x in enumerate(parts) if x.any()]
         return pa.table(

@@ -2,6 +2,8 @@
 
 A stage's input is a table that was written: what the stages before it kept in the shared
 folder has been read by then, and is removed.  So one pipeline runs at a time in a process.
+A stage leaves the session with batches of ``BATCH_BYTES`` between the JVM and Python: its
+result is computed only when it is written.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ from citeledger.llm.substring_dedup import repeats, without_spans
 from citeledger.scratch import keep, load, noted, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Each running task holds several copies of a batch, in the JVM and in its worker; of whole texts 10,000 rows are too many.
+BATCH_BYTES = 4 << 20
 _kept: list[str] = []
 
 
 def _clearing(stage: Stage) -> Stage:
-    """The stage, after the tables that earlier ones kept are removed."""
+    """The stage, in batches of few bytes, after the tables that earlier ones kept are removed."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, _kept)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         with noted(_kept):
             return stage(spark, docs, sf_dir)
 

@@ -130,6 +130,20 @@ def test_equal_tables_give_equal_models(spark):
     assert cotraining.without_rejected(long, labels).count() == 2  # no labelled document: nothing is rejected
 
 
+def test_fitting_holds_few_copies_of_its_entries(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(cotraining, "STEPS", 2)
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 200, 4000)
+    flat = rng.integers(0, 5000, sizes.sum()).astype(np.uint32)
+    tracemalloc.start()
+    view = cotraining.fit_view(cotraining.Ids(flat, sizes), rng.random(4000) < 0.5, 5001, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(flat) and view.weights[:5000].all() and not view.weights[5000]
+
+
 def test_divergence_equals_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["the", "of", "and", f"r{rng.randrange(500)}"]) for _ in range(80))) for i in range(40)]
@@ -421,6 +435,20 @@ def test_pipeline_keeps_clean_documents(spark):
         assert out.columns == frame.columns and out.where("doc_id < 12").count() == 12, name
 
 
+def test_pipeline_stages_take_texts_in_batches_of_few_bytes(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline as pipe
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    stage = pipe._clearing(lambda spark, frame, sf_dir: frame.mapInArrow(sizes, "n long, size long"))
+    rows = stage(spark, spark.range(9000).selectExpr("id", "repeat('x', 2000) AS text").coalesce(1), "").collect()
+    assert sum(r.n for r in rows) == 9000 and max(r["size"] for r in rows) < 5 << 20
+
+
 def repeated_windows(texts, size):
     """Brute force: of each text (id, words), the merged places of windows that occur earlier."""
     seen, out = set(), {}
