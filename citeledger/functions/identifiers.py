@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeledger.functions.text import clean, clean_text, fold, let
 from citeledger.schema import KINDS
 
+_WRAPPED, _ENDING = re.compile(r"(?i)^[(\[{<\"']*(https?://(dx\.)?doi\.org/|doi:\s*)?"), re.compile(r"[.,;:'\"\]}>]+$")
 DOI = r"(?i)10\.\d{4,9}/[^\s\"<>]+"
 
 
@@ -34,8 +35,7 @@ def normalize_doi(value: Column) -> Column:
 
 def doi_text(value: str | None) -> str:
     """normalize_doi of one Python string, for parsers."""
-    bare = re.sub(r"(?i)^[(\[{<\"']*(https?://(dx\.)?doi\.org/|doi:\s*)?", "", clean_text(value)).strip()
-    bare = re.sub(r"[.,;:'\"\]}>]+$", "", bare)
+    bare = _ENDING.sub("", _WRAPPED.sub("", clean_text(value)).strip())
     closing = len(bare) - len(bare.rstrip(")"))
     cut = max(0, min(closing, bare.count(")") - bare.count("(")))
     return bare[: len(bare) - cut].lower()

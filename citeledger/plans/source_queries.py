@@ -12,7 +12,7 @@ from citeledger.plans import cases
 from citeledger.plans.audit import AuditOptions, Registries, audit
 from citeledger.report import error_fields, json_rows, summary
 from citeledger.schema import NAME
-from citeledger.scratch import keep, load
+from citeledger.scratch import keep, load, spread
 from citeledger.sources import libraries, registries
 from citeledger.sources.bibtex import bad_blocks, bibtex_blocks, bibtex_references
 from citeledger.sources.files import text_table
@@ -63,24 +63,24 @@ _BIB = f"""b AS (SELECT *, p_partkey // {_FILE} AS f, p_partkey % {_FILE} + 1 AS
     e AS (SELECT *, 'f' || f || '.bib:' || line AS locator FROM b)"""
 
 
-def _notes(spark: Spark, d: str) -> DataFrame:
-    """Every order as a document."""
+def _notes(spark: Spark, d: str, sort: str) -> DataFrame:
+    """Every order as a document, scanned for rows of a sort."""
     text = F.expr(r"""concat(
         '---\ntitle: x\nbibliography: refs.bib\nnocite: "@no', o_orderkey, '"\n---\n',
         'See [@key', o_custkey, '; -@pair:', o_orderkey % 7, '] or @fig-a, `@code`, me@x.org and [[@note', o_orderkey, '|n]].\n',
         'As in (https://doi.org/10.1000/D', o_orderkey, '), `10.1000/d', o_orderkey, '` and ![[@embed]].\n',
         '```{r}\nt <- read.delim(text = "Author|Year|DOI\nSmith & Doe|', 1990 + o_orderkey % 30, '|10.2000/T', o_orderkey, '", sep = "|") # 10.9\n',
         'v <- data.frame(DOI = c("10.3000/V', o_orderkey, '", "10.3000/W', o_orderkey, '"), Year = c(1999', if(o_orderkey % 2 = 0, ', 2000', ''), '))\n```\n')""")
-    orders = load(spark, d, "orders").select(F.concat(F.lit("/n/o"), "o_orderkey", F.lit(".md")).alias("name"), text.alias("text"))
-    return markdown_scan(text_table(orders, "name", "text"), "/n")
+    orders = spread(load(spark, d, "orders").select("o_orderkey", "o_custkey")).select(F.concat(F.lit("/n/o"), "o_orderkey", F.lit(".md")).alias("name"), text.alias("text"))
+    return markdown_scan(text_table(orders, "name", "text"), "/n", [sort])
 
 
 def document_citations(spark: Spark, d: str) -> DataFrame:
-    return cited_keys(_notes(spark, d)).select("citekey", "locator")
+    return cited_keys(_notes(spark, d, "cite")).select("citekey", "locator")
 
 
 def document_references(spark: Spark, d: str) -> DataFrame:
-    refs = markdown_references(_notes(spark, d))
+    refs = markdown_references(_notes(spark, d, "ref"))
     warned = F.get_json_object("raw", "$.warning").isNotNull()
     return refs.select("key", "locator", "kind", F.coalesce("year", F.lit(0)).cast("long").alias("year"), F.size("authors").cast("long").alias("n_authors"), warned.alias("warned"))
 

@@ -74,3 +74,13 @@ def release_all(spark: SparkSession) -> None:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in enough partitions to keep every core at work.
+
+    For small rows that take long to work through: a file of a few MB is one task however many
+    rows it holds, and adaptive execution would join partitions of so few bytes again.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

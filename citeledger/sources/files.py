@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 BIBLIOGRAPHIES, DOCUMENTS, LIBRARIES = {".bib", ".bibtex"}, {".qmd", ".md", ".markdown", ".rmd"}, {".sqlite", ".json"}
 LIBRARY, GENERATED, SUGGESTED = "zotero.sqlite", {"_site", "_freeze", "node_modules"}, ".suggested.bib"
 
+#: ``parsed`` makes Python objects of so many files at a time, and hands on so many rows, or what it found in so many bytes.
+_FILES, _ROWS, _BYTES = 64, 4096, 1 << 20
+
 
 class UsageError(Exception):
     """The given paths can't be audited."""
@@ -89,13 +92,20 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], Iterable[dict]], sche
     arrow = to_arrow_schema(StructType.fromDDL(full))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch a file would cost more than parsing; one holds many files' rows, or those of one large file
+        found, read = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                found = [
-                    {"file_no": row["file_no"], "path": row["path"], "nth": n, **x} for n, x in enumerate(parse(row["path"], row["content"] or b""))
-                ]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, arrow)
+            for at in range(0, batch.num_rows, _FILES):
+                for row in batch.slice(at, _FILES).to_pylist():
+                    content = row["content"] or b""
+                    found += ({"file_no": row["file_no"], "path": row["path"], "nth": n, **x} for n, x in enumerate(parse(row["path"], content)))
+                    read += len(content)
+                    if len(found) >= _ROWS or read >= _BYTES:
+                        if found:
+                            yield pa.RecordBatch.from_pylist(found, arrow)
+                        found, read = [], 0
+        if found:
+            yield pa.RecordBatch.from_pylist(found, arrow)
 
     return files.select("file_no", "path", "content").mapInArrow(rows, full)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeledger.functions.names import Person
+from citeledger.scratch import spread
 from citeledger.sources import libraries, lookups, markdown, notices, registries, rules
 from citeledger.sources.bibtex import bad_blocks, bibtex_blocks, bibtex_references, blocks_of, entry_locators
 from citeledger.sources.files import UsageError, expand, file_table, text_table
@@ -413,3 +414,23 @@ def test_file_table_numbers_by_path(spark, tmp_path):
     rows = file_table(spark, [tmp_path / f"{n}.bib" for n in ("b", "a", "c d")]).orderBy("file_no").collect()
     assert [(r.path.rsplit("/", 1)[1], bytes(r.content).decode()) for r in rows] == [("a.bib", "a"), ("b.bib", "b"), ("c d.bib", "c d")]
     assert file_table(spark, []).count() == 0
+
+
+def test_parsed_rows_of_many_files_share_a_batch(spark):
+    files = spark.range(0, 900, 1, 1).selectExpr("int(id) file_no", "concat('/d', id, '.md') path", "encode('as [@a; @b] and 10.1/x', 'UTF-8') content")
+    out = markdown.markdown_scan(files).mapInPandas(lambda frames: (f[["sort"]].assign(sort=str(len(f))) for f in frames), "sort string")
+    sizes = [int(r.sort) for r in out.collect()]
+    assert len(sizes) == 900 * 2 and min(sizes) > 100
+
+
+def test_markdown_scan_of_one_sort(tmp_path):
+    text = b"---\nbibliography: a.bib\nnocite: \"@n\"\n---\n[@k] 10.1234/x `10.1234/y`\n```{r}\nx <- data.frame(doi = c('10.1234/z'))\n```\n@last\n"
+    every = list(markdown.scan_of("a.md", text))
+    assert {x["sort"] for x in every} == {"bib", "cite", "ref"}
+    for sort in ("bib", "cite", "ref"):
+        assert list(markdown.scan_of("a.md", text, (sort,))) == [x for x in every if x["sort"] == sort]
+
+
+def test_spread_gives_every_core_rows(spark):
+    held = spread(spark.range(0, 1000, 1, 1)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in held) == 1000
