@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeledger.schema import NAME
-from citeledger.scratch import load
+from citeledger.scratch import load, spread
 
 _PERSON = "named_struct('family', {f}, 'given', {g}, 'literal', '', 'collective', false, 'et_al', false)"
 _YEARS = "array(named_struct('slot', 'print', 'year', int(1990 + p_size % 30)), named_struct('slot', 'online', 'year', int(1989 + p_size % 30)))"
@@ -22,16 +22,16 @@ def _people(*pairs: tuple[str, str]) -> str:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primary registry: all parts but those of size 19 (not found) and 23 (second registry)."""
-    return load(spark, sf_dir, "part").where("p_size not in (19, 23)").transform(_records, "crossref")
+    return spread(load(spark, sf_dir, "part")).where("p_size not in (19, 23)").transform(_records, "crossref")
 
 
 def second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").where("p_size in (23, 29)").transform(_records, "datacite")
+    return spread(load(spark, sf_dir, "part")).where("p_size in (23, 29)").transform(_records, "datacite")
 
 
 def medical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corroborator: sizes above 40, with the container spelt as the damage of size 43 has it."""
-    return load(spark, sf_dir, "part").where("p_size > 40").transform(_records, "pubmed", "if(p_size = 43, 'Other Journal', p_brand)")
+    return spread(load(spark, sf_dir, "part")).where("p_size > 40").transform(_records, "pubmed", "if(p_size = 43, 'Other Journal', p_brand)")
 
 
 def _records(part: DataFrame, source: str, container: str = "p_brand") -> DataFrame:
@@ -48,7 +48,7 @@ def _records(part: DataFrame, source: str, container: str = "p_brand") -> DataFr
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with damage by p_size: 3 upper-case title, 5 longer title, 7 year + 1, 11 no
     volume, 13 other year, 17 an author less, 37 other container, 43 the corroborator's container."""
-    return load(spark, sf_dir, "part").selectExpr(
+    return spread(load(spark, sf_dir, "part")).selectExpr(
         "p_partkey pos", "concat('part', p_partkey) key", "'part.bib' locator", "'article' kind",
         "concat('https://doi.org/10.1234/PART.', p_partkey) doi", "'' pmid", "'' arxiv", "'' isbn",
         "case p_size when 3 then upper(concat_ws(' ', p_name, p_type, p_partkey)) when 5 then concat_ws(' ', p_name, p_type, p_partkey, 'Revised') "

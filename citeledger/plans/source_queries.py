@@ -144,7 +144,7 @@ _LIBRARY = """SELECT 'I' || p_partkey AS key, CASE p_size % 3 WHEN 0 THEN 'artic
 
 
 def _payloads(spark: Spark, d: str) -> DataFrame:
-    return load(spark, d, "part").select("*", F.concat(F.lit("10.1/"), "p_partkey").alias("key"))
+    return spread(load(spark, d, "part")).select("*", F.concat(F.lit("10.1/"), "p_partkey").alias("key"))
 
 
 def registry_records(spark: Spark, d: str) -> DataFrame:
@@ -261,7 +261,7 @@ def search_confirmed(spark: Spark, d: str) -> DataFrame:
     The first source has the name with another type, the author's or another, a year off by up
     to two, and every third without DOI; the second repeats some DOIs.
     """
-    part = load(spark, d, "part")
+    part = spread(load(spark, d, "part"))
     person = lambda c: F.array(F.struct(c.alias("family"), F.lit("A").alias("given"), F.lit("").alias("literal"), F.lit(False).alias("collective"), F.lit(False).alias("et_al"))).cast(f"array<{NAME}>")
     title = F.concat(F.lit("A long enough title about "), "p_name", F.lit(" and its properties in the field"))
     refs = part.select(

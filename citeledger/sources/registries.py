@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citeledger.functions.identifiers import doi_of, normalize_doi, parse_year
 from citeledger.functions.names import NAMES, NAMES_ARROW, Person, each_person, is_collective, parse_person
-from citeledger.functions.text import clean_each, clean_text, fold_each
+from citeledger.functions.text import clean_each, clean_text, fold_each, settled
 from citeledger.schema import RECORD_FIELDS
 
 _WHO = "array<struct<family:string,given:string,name:string>>"
@@ -59,7 +59,7 @@ def _some(value: Column) -> Column:
 def _texts(rows: DataFrame, **values: Column) -> tuple[DataFrame, dict[str, Column]]:
     """rows with display texts of values as one array, and each as a column ('' for none)."""
     names = list(values)
-    rows = rows.withColumn("texts", clean_each(F.array(*(_some(values[n]) for n in names))))
+    rows = settled(rows, {"texts": clean_each(F.array(*(_some(values[n]) for n in names)))})
     return rows, {n: F.get("texts", F.lit(i)) for i, n in enumerate(names)}
 
 
@@ -79,7 +79,7 @@ def _one_slot(year: Column) -> Column:
 
 def _joined_title(rows: DataFrame, title: Column, subtitle: Column) -> tuple[DataFrame, Column]:
     """Title and subtitle with a colon between, unless the title has the subtitle already."""
-    rows = rows.withColumn("title_keys", fold_each(F.array(title, subtitle)))
+    rows = settled(rows, {"title_keys": fold_each(F.array(title, subtitle))})
     held = F.contains(F.get("title_keys", F.lit(0)), F.get("title_keys", F.lit(1)))
     return rows, F.when((subtitle == "") | ((title != "") & held), title).when(title == "", subtitle).otherwise(F.concat(title, F.lit(": "), subtitle))
 
@@ -92,7 +92,7 @@ def _split_names(rows: DataFrame, people: Column, fields: tuple[str, str, str],
     """rows with names of creators that come split: a literal one is a body; those without any text are left out."""
     family, given, literal = fields
     flat = F.flatten(F.transform(people, lambda p: F.array(_some(p[literal]), _some(p[family]), _some(p[given]))))
-    rows = rows.withColumn("who", clean_each(F.coalesce(flat, F.array().cast("array<string>"))))
+    rows = settled(rows, {"who": clean_each(F.coalesce(flat, F.array().cast("array<string>")))})
     at = lambda i, n: F.get("who", (i * 3 + n).cast("int"))
     one = lambda i: F.struct(
         F.when(at(i, 0) == "", at(i, 1)).otherwise("").alias("family"), F.when(at(i, 0) == "", at(i, 2)).otherwise("").alias("given"),
@@ -106,7 +106,8 @@ def _relations(rows: DataFrame, name: str) -> DataFrame:
     """rows with the updates of a field as (type key, DOI, shown type, source), in order."""
     entries = F.coalesce(F.col(f"w.`{name}`"), F.array().cast(_UPDATE))
     column = name.replace("-", "_")
-    rows = rows.withColumns(
+    rows = settled(
+        rows,
         {
             f"{column}_keys": fold_each(F.transform(entries, lambda e: _some(e["type"]))), f"{column}_shown": clean_each(F.transform(entries, lambda e: _some(e["type"]))),
             f"{column}_dois": clean_each(F.transform(entries, lambda e: _some(e["DOI"]))),
@@ -119,7 +120,7 @@ def _relations(rows: DataFrame, name: str) -> DataFrame:
             F.get(f"{column}_shown", i).alias("shown"), (_some(e["source"]) == _WITNESS).alias("witnessed"),
         ),
     )
-    return rows.withColumn(column, listed).drop(f"{column}_keys", f"{column}_shown", f"{column}_dois")
+    return settled(rows, {column: listed}).drop(f"{column}_keys", f"{column}_shown", f"{column}_dois")
 
 
 def crossref_records(works: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def datacite_records(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("a", F.from_json(found, ATTRIBUTES)).where("a is not null")
     titles = F.coalesce("a.titles", F.array().cast("array<struct<title:string,titleType:string>>"))
     shown = clean_each(F.transform(titles, lambda t: _some(t["title"])))
-    rows = rows.withColumn("listed", shown)
+    rows = settled(rows, {"listed": shown})
     untyped = F.get(F.filter(F.transform(titles, lambda t, i: F.when(_some(t["titleType"]) == "", F.get("listed", i))), lambda t: _some(t) != ""), F.lit(0))
     rows, t = _texts(
         rows, container=F.col("a.container.title"), volume=F.col("a.container.volume"), issue=F.col("a.container.issue"),
@@ -261,7 +262,7 @@ def medical_records(rows: DataFrame) -> DataFrame:
     bare = F.when(t["title"].rlike(r"\.$") & ~t["title"].rlike(r"(?:[A-Za-z]\.){2,}$"), F.rtrim(F.regexp_replace(t["title"], r"\.$", ""))).otherwise(t["title"])
     title = F.when(t["title"].rlike(r"^\[.*\]\.?$"), inner).otherwise(bare)
     kinds = F.coalesce(F.col("fields")["PT"], F.array().cast("array<string>"))
-    rows = rows.withColumns({"kinds": fold_each(kinds), "kinds_shown": clean_each(kinds)})
+    rows = settled(rows, {"kinds": fold_each(kinds), "kinds_shown": clean_each(kinds)})
     place = F.array_position("kinds", "retracted publication").cast("int")
     full, short = F.col("fields")["FAU"], F.col("fields")["AU"]
     rows = rows.withColumn("concerns", F.coalesce(F.col("fields")["ECI"], F.array().cast("array<string>")))

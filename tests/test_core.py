@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from citeledger.functions import identifiers as ids
-from citeledger.functions.names import Person, agree, compare_bylines, demojibake, one_edit, parse_people, parse_person
-from citeledger.functions.text import clean_text, fold, fold_text, ratio
+from citeledger.functions.names import Person, agree, compare_bylines, demojibake, one_edit, parse_people, parse_person, people
+from citeledger.functions.text import clean, clean_text, fold, fold_text, ratio, settled
 from citeledger.operators import relations as rel
 from citeledger.operators.compare import compared, verdict
 from citeledger.operators.resolve import latest_notices, merged_notices
+from citeledger.plans import derived
 from citeledger.plans import queries as core
 from citeledger.schema import ISSUE, RECORD, REFERENCE
 
@@ -23,6 +24,27 @@ def test_fold_paths_agree(spark):
     assert clean_text("{\\'e}tude \\emph{x} “q”") == 'etude x "q"'
 
 
+def test_fold_and_clean_of_every_letter_in_one_python_stage(spark):
+    values = [f"a{chr(c)} b\t {chr(c)}" for c in [*range(1, 0x250), 0x1E9E, 0x2013, 0x201C, 0x212A, 0x4E00, 0x1F600]]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = rows.select("v", fold(F.col("v")).alias("f"), clean(F.col("v")).alias("c"), people(F.col("v")).alias("p"))
+    assert all((r.f, r.c) == (fold_text(r.v), clean_text(r.v)) for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_settled_columns_are_computed_once(spark):
+    rows = settled(spark.createDataFrame([("a", 1), ("b", 2)], "s string, n int"), {"u": F.transform(F.array("s", "s"), F.upper), "n": F.col("n") + 1})
+    out = rows.select(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.concat(F.get("u", i), F.col("n").cast("string"))).alias("x"))
+    assert sorted(r.x for r in out.collect()) == [["A2", "A2"], ["B3", "B3"]]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_references_and_records_of_one_small_file_reach_every_core(spark):
+    for rows in (derived.stored(spark, SF), derived.registry(spark, SF)):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize(
     ("raw", "want"),
     [("https://doi.org/10.1234/AbC", "10.1234/abc"), ("(10.1234/x).", "10.1234/x"), ("10.1016/S0140-6736(03)14065-2", "10.1016/s0140-6736(03)14065-2"),
