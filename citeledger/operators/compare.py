@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from citeledger.functions.identifiers import kind_of, normalize_doi, page_of
 from citeledger.functions.names import byline_diff
-from citeledger.functions.text import clean_each, fold_all, fold_each, similarity
+from citeledger.functions.text import clean_each, fold_all, fold_each, settled, similarity
 from citeledger.operators import rules
 from citeledger.schema import ARTIFACT, COMPATIBLE_KINDS, CONCERN, ISSUE, NO_RESOLUTION_SIGNAL, NO_RETRACTION_SIGNAL, REGISTRIES
 
@@ -109,11 +109,12 @@ def prepared(rows: DataFrame) -> DataFrame:
         *(F.coalesce(F.col(c), F.lit("")) for c in ("primary.container_short", "kind", "primary.kind")),
     )
     alternates = F.concat(*(F.coalesce(F.col(f"{r}.container_alternates"), F.array()) for r in ("primary", "corroborator")))
-    rows = rows.withColumn("texts", texts).withColumn("alternates", alternates)
-    rows = rows.withColumns({"shown": clean_each(F.col("texts")), "keys": fold_each(F.col("texts")), "k_alternates": fold_all(F.col("alternates"))})
+    rows = settled(rows, {"texts": texts, "alternates": alternates})
+    rows = settled(rows, {"shown": clean_each(F.col("texts")), "keys": fold_each(F.col("texts")), "k_alternates": fold_all(F.col("alternates"))})
     score = lambda r: similarity(_shown("own", "title"), _shown(r, "title"), _key("own", "title"), _key(r, "title"))
     listed = F.when(F.size("primary.authors") > 0, F.col("primary.authors")).otherwise(F.col("corroborator.authors"))
-    rows = rows.withColumns(
+    rows = settled(
+        rows,
         {
             "score_p": score("primary"), "score_c": score("corroborator"), "listed": listed,
             "own_kind": kind_of(F.get("keys", F.lit(_KIND))), "registry_kind": kind_of(F.get("keys", F.lit(_REGISTRY_KIND))),
@@ -121,7 +122,8 @@ def prepared(rows: DataFrame) -> DataFrame:
     )
     # the title that is nearer to the stored one; of equal ones the primary's
     second = (_shown("corroborator", "title") != "") & ((_shown("primary", "title") == "") | (F.col("score_c") > F.col("score_p")))
-    rows = rows.withColumns(
+    rows = settled(
+        rows,
         {
             "best_title": F.when(second, _shown("corroborator", "title")).otherwise(_shown("primary", "title")),
             "best_key": F.when(second, _key("corroborator", "title")).otherwise(_key("primary", "title")),
@@ -359,13 +361,15 @@ def compared(rows: DataFrame, unreachable: list[str] = (), limits: Thresholds =
     ok = (F.size("authors") > 0) & (F.size("listed") > 0) & (F.size("diff.mismatches") == 0) & ~F.col("diff.count_differs")
     present = F.transform("records", lambda r: r["source"])
     helpers = [c for c in ready.columns if c not in rows.columns]
-    out = ready.withColumns(
+    out = settled(
+        ready,
         {
             "every": every, "authors_ok": F.coalesce(ok, F.lit(False)), "consulted": consultations(present, F.col("asked"), F.col("down")),
             "title_similarity": F.when((_shown("own", "title") != "") & (F.col("best_title") != ""), F.col("best_score")),
         }
     )
-    out = out.withColumns(
+    out = settled(
+        out,
         {
             "issues": F.filter("every", lambda i: i["kind"] != ARTIFACT),
             "suppressed": F.filter("every", lambda i: i["kind"] == ARTIFACT),
